@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from seqlab import fixed_values as V
 from seqlab import runtime
 from seqlab.catalog.registry import DOCS, EVENTS, PAGES, query, r6, sql_calls, sql_r6
+from seqlab.functions.arrays import vector_cells
 from seqlab.functions.encoding import one_hot
 from seqlab.functions.labels import call_category, short_feature_name
 from seqlab.operators import calls, explain, features, splits
@@ -201,9 +201,8 @@ SELECT sample_id, cast(col_idx AS bigint) AS col_idx, {sql_r6('value')} AS value
 
 
 def _long(matrix):
-    cells = F.posexplode(vector_to_array("features")).alias("col_idx", "value")
-    rows = matrix.select("sample_id", cells).where("abs(value) > 1e-9")
-    return rows.select("sample_id", F.col("col_idx").cast("long").alias("col_idx"), r6("value").alias("value"))
+    rows = matrix.select("sample_id", F.inline(vector_cells(F.col("features")))).where("abs(x) > 1e-9")
+    return rows.select("sample_id", F.col("i").cast("long").alias("col_idx"), r6("x").alias("value"))
 
 
 @query("F6_feature_matrix", _matrix_sql(5000, 3, True, False))

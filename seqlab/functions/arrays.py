@@ -81,3 +81,11 @@ def total(values: Column) -> Column:
 def ratio(num: Column, den: Column) -> Column:
     """``num / den`` as double; 0 when the denominator is 0 or missing."""
     return F.coalesce(F.try_divide(num.cast("double"), den.cast("double")), F.lit(0.0))
+
+
+def vector_cells(vector: Column) -> Column:
+    """Stored cells of an ML vector as ``array<struct<i, x>>``; a sparse vector
+    is never expanded to its full width."""
+    raw = F.unwrap_udt(vector)
+    at = F.coalesce(raw["indices"], indices(F.size(raw["values"])))
+    return F.zip_with(at, raw["values"], lambda i, x: F.struct(i.alias("i"), x.alias("x")))

@@ -80,3 +80,13 @@ def small_table(df: DataFrame, rows: int = 10_000) -> DataFrame:
     if len(found) > rows:
         return pin(df)
     return F.broadcast(df.sparkSession.createDataFrame(found, df.schema))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on an input of few file splits.
+
+    A large input has more splits than cores and is left as it is, so this
+    shuffles only what a handful of tasks could read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqlab import runtime
 from seqlab.fixed_values import CATEGORIES
 from seqlab.functions.labels import CategoryOf
 from seqlab.operators.calls import number_calls
@@ -17,7 +18,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def doc_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as samples: words are calls, the language is the class."""
-    return table(spark, sf_dir, "documents").select(
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return runtime.spread(texts).select(
         F.col("doc_id").cast("string").alias("sample_id"), "doc_id",
         F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("sequence"),
         F.col("lang").alias("label"), "source",

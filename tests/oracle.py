@@ -45,9 +45,15 @@ def rows_of(columns, records):
     return [columns[i] for i in order], sorted(tuple(_cell(r[i]) for i in order) for r in records)
 
 
+TIMES: dict[str, float] = {}
+
+
 def compare(spark, con, sf_dir: str, fn, sql: str) -> str | None:
+    start = time.time()
     df = fn(spark, sf_dir)
-    ours = rows_of(df.columns, [tuple(r) for r in df.collect()])
+    records = [tuple(r) for r in df.collect()]
+    TIMES["spark"] = time.time() - start
+    ours = rows_of(df.columns, records)
     res = con.execute(sql)
     theirs = rows_of([c[0] for c in res.description], res.fetchall())
     if ours[0] != theirs[0]:
@@ -89,7 +95,7 @@ def main() -> int:
         except Exception as e:  # noqa: BLE001
             problem, kind = "".join(traceback.format_exception_only(e))[:1500], ""
         bad += problem is not None
-        print(f"{'FAIL' if problem else 'ok  '} {name:42s} {time.time() - start:6.2f}s {problem or kind}", flush=True)
+        print(f"{'FAIL' if problem else 'ok  '} {name:42s} {time.time() - start:6.2f}s (spark {TIMES.pop('spark', 0):5.2f}s) {problem or kind}", flush=True)
     print("failures:", bad)
     return bad
 
