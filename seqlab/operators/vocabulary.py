@@ -91,6 +91,14 @@ def encode_sequences(
     return _encode_with_join(samples, vocab, output)
 
 
+def vocabulary_dict(vocab: DataFrame, limit: int = 500) -> dict[str, int]:
+    """A small vocabulary as literals, for row-local encoding on streams."""
+    rows = vocab.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"vocabulary has more than {limit} tokens; use encode_sequences")
+    return {r["token"]: r["idx"] for r in rows}
+
+
 def unknown_ratio(samples: DataFrame, vocab: DataFrame) -> DataFrame:
     """One row: total tokens, unknown tokens and their ratio over the set.
 
