@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqlab import fixed_values as V
-from seqlab.functions.arrays import let, ngrams, pairs, ratio, run_counts, total
+from seqlab.functions.arrays import indices, let, ngrams, pairs, ratio, run_counts, total
 from seqlab.functions.labels import CategoryOf, call_category
 
 STATISTIC_NAMES = (
@@ -116,50 +116,66 @@ def _weight(n: Column, log_dampen: bool) -> Column:
     return F.log2(n + F.lit(1.0)) if log_dampen else n.cast("double")
 
 
-def _weight_where(entries: Column, field: str, name: str) -> Column:
-    hits = F.filter(entries, lambda x: x[field] == F.lit(name))
-    return total(F.transform(hits, lambda x: x["w"]))
+def _slot(name: Column) -> Column:
+    return (F.array_position(F.array(*[F.lit(c) for c in V.CATEGORIES]), name) - 1).cast("int")
 
 
-def _over_total(entries: Column, slots: Column) -> Column:
-    """Slot weights over the weight of all entries."""
-    return let(total(F.transform(entries, lambda x: x["w"])), lambda t: F.transform(slots, lambda s: ratio(s, t)))
+def _slot_shares(entries: Column, n_slots: int) -> Column:
+    """Weight per slot over all weight, for ``array<struct<slot, w>>``: entries
+    are sorted by slot and summed run by run."""
+
+    def measure(e: Column) -> Column:
+        starts = F.filter(
+            indices(F.size(e)), lambda i: (i == 0) | (F.get(e, i)["slot"] != F.get(e, i - F.lit(1))["slot"])
+        )
+
+        def run_sum(i: Column, after: Column) -> Column:
+            return F.aggregate(F.sequence(i, after - 1), F.lit(0.0), lambda acc, k: acc + F.get(e, k)["w"])
+
+        sums = let(
+            starts,
+            lambda b: F.transform(
+                b, lambda i, j: F.struct(F.get(e, i)["slot"], run_sum(i, F.coalesce(F.get(b, j + 1), F.size(e))))
+            ),
+        )
+        whole = total(F.transform(e, lambda x: x["w"]))
+        return let(
+            F.struct(F.map_from_entries(sums).alias("sums"), whole.alias("whole")),
+            lambda m: F.transform(
+                F.sequence(F.lit(0), F.lit(n_slots - 1)),
+                lambda s: ratio(F.coalesce(F.try_element_at(m["sums"], s), F.lit(0.0)), m["whole"]),
+            ),
+        )
+
+    return let(F.sort_array(entries), measure)
+
+
+def _category_shares(counts: Column, log_dampen: bool, category: CategoryOf) -> Column:
+    entries = F.transform(
+        counts, lambda x: F.struct(_slot(category(x["item"])).alias("slot"), _weight(x["n"], log_dampen).alias("w"))
+    )
+    return _slot_shares(entries, len(V.CATEGORIES))
 
 
 def category_shares(seq: Column, log_dampen: bool = False, category: CategoryOf = call_category) -> Column:
     """Share of each category. The category is looked up once per distinct token."""
-    entries = let(
-        run_counts(seq),
-        lambda c: F.transform(
-            c, lambda x: F.struct(category(x["item"]).alias("slot"), _weight(x["n"], log_dampen).alias("w"))
-        ),
-    )
-    return let(entries, lambda e: _over_total(e, F.array(*[_weight_where(e, "slot", c) for c in V.CATEGORIES])))
+    return let(run_counts(seq), lambda c: _category_shares(c, log_dampen, category))
 
 
 def transition_shares(seq: Column, log_dampen: bool = False, category: CategoryOf = call_category) -> Column:
-    """Share of each category-to-category step, over distinct token bigrams.
-
-    Entries are grouped by source first, so each one is looked at 16 times, not 64.
-    """
+    """Share of each category-to-category step, over distinct token bigrams."""
+    k = len(V.CATEGORIES)
     entries = let(
         run_counts(pairs(seq)),
         lambda c: F.transform(
             c,
             lambda x: F.struct(
-                category(x["item"]["a"]).alias("src"), category(x["item"]["b"]).alias("dst"),
+                (_slot(category(x["item"]["a"])) * k + _slot(category(x["item"]["b"]))).alias("slot"),
                 _weight(x["n"], log_dampen).alias("w"),
             ),
         ),
     )
-
-    def from_source(e: Column, source: str) -> Column:
-        return let(
-            F.filter(e, lambda x: x["src"] == F.lit(source)),
-            lambda part: F.array(*[_weight_where(part, "dst", c) for c in V.CATEGORIES]),
-        )
-
-    return let(entries, lambda e: _over_total(e, F.flatten(F.array(*[from_source(e, c) for c in V.CATEGORIES]))))
+    return _slot_shares(entries, k * k)
 
 
 # ---- assembly ----------------------------------------------------------------
@@ -172,10 +188,14 @@ def named_features(samples: DataFrame, values: Column, names: list[str]) -> Data
 
 def engineered(seq: Column, log_dampen: bool = False, category: CategoryOf = call_category, drop_length: bool = False) -> Column:
     """The 81 engineered values: statistics, categories, transitions."""
-    stats = statistics(seq, log_dampen=log_dampen)
-    if drop_length:
-        stats = F.slice(stats, 2, len(STATISTIC_NAMES) - 1)
-    return F.concat(stats, category_shares(seq, log_dampen, category), transition_shares(seq, log_dampen, category))
+
+    def from_counts(c: Column) -> Column:
+        stats = _statistics(c, V.TOP_K_FREQUENCIES, log_dampen)
+        if drop_length:
+            stats = F.slice(stats, 2, len(STATISTIC_NAMES) - 1)
+        return F.concat(stats, _category_shares(c, log_dampen, category))
+
+    return F.concat(let(run_counts(seq), from_counts), transition_shares(seq, log_dampen, category))
 
 
 def engineered_features(samples: DataFrame, log_dampen: bool = False, category: CategoryOf = call_category) -> DataFrame:

@@ -93,18 +93,23 @@ def _rank_ranges(df: DataFrame, order_by: list[str | Column], name: str, first:
     )
 
 
+HOT_KEYS = 1000
+
+
 def lookup_join(
-    facts: DataFrame, dim: DataFrame, on: list[str], how: str = "left", spread_by: str = "sample_id",
-    max_broadcast_rows: int = runtime.BROADCAST_ROWS, salts: int = 32,
+    facts: DataFrame, dim: DataFrame, on: list[str], how: str = "left",
+    max_broadcast_rows: int = runtime.BROADCAST_ROWS, hot_keys: int = HOT_KEYS,
 ) -> DataFrame:
     """Join a lookup table with one row per key.
 
-    The table is broadcast after its size was checked. A larger one is joined
-    by shuffle with every key spread over ``salts`` copies, because one key
-    (a very common token) may hold a large share of the facts.
+    The table is broadcast after its rows were counted. A larger one is joined
+    by shuffle, except for the ``hot_keys`` most common keys of the facts:
+    their few table rows are broadcast. No other key can hold more than
+    1/hot_keys of the facts, so the shuffle stays balanced.
     """
     if runtime.fits(dim, max_broadcast_rows):
         return facts.join(F.broadcast(dim), on, how)
-    copies = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    spread = facts.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
-    return spread.join(copies, [*on, "_salt"], how).drop("_salt")
+    common = facts.groupBy(*on).count().orderBy(F.desc("count"), *on).limit(hot_keys).select(*on)
+    hot = runtime.small_table(common, hot_keys)
+    hot_rows = facts.join(hot, on, "left_semi").join(F.broadcast(dim.join(hot, on, "left_semi")), on, how)
+    return hot_rows.unionByName(facts.join(hot, on, "left_anti").join(dim, on, how))

@@ -33,14 +33,21 @@ def _shuffled_rank(samples: DataFrame, label: str, seed: int) -> DataFrame:
 def stratified_split(
     samples: DataFrame, test_size: float = V.TEST_SIZE, seed: int = V.RANDOM_SEED, label: str = "label",
 ) -> DataFrame:
-    """Add ``split`` ('train'/'test') with exact per-class test sizes."""
-    ranked = _shuffled_rank(samples, label, seed)
-    sizes = runtime.small_table(samples.groupBy(label).agg(F.count("*").alias("_n")))
-    return (
-        ranked.join(sizes, label)
-        .withColumn("split", F.when(F.col("_rank") <= F.round(F.col("_n") * F.lit(test_size)), "test").otherwise("train"))
-        .select(*samples.columns, "split")
+    """Add ``split`` ('train'/'test') with exact per-class test sizes.
+
+    Only (id, label) pairs are ranked. Each class then has one cut in drawn
+    order, which the full rows are compared with where they are.
+    """
+    keys = samples.select("sample_id", label)
+    sizes = runtime.small_table(keys.groupBy(label).agg(F.round(F.count("*") * F.lit(test_size)).cast("long").alias("_rank")))
+    cuts = runtime.small_table(
+        _shuffled_rank(keys, label, seed).join(sizes, [label, "_rank"]).select(
+            label, F.struct(draw(F.col("sample_id"), seed).alias("d"), F.col("sample_id").alias("i")).alias("_cut")
+        )
     )
+    own = F.struct(draw(F.col("sample_id"), seed).alias("d"), F.col("sample_id").alias("i"))
+    split = F.when(own <= F.col("_cut"), "test").otherwise("train")
+    return samples.join(cuts, label, "left").select(*samples.columns, split.alias("split"))
 
 
 def stratified_folds(samples: DataFrame, k: int = V.CV_FOLDS, seed: int = V.RANDOM_SEED, label: str = "label") -> DataFrame:

@@ -105,7 +105,7 @@ def unknown_ratio(samples: DataFrame, vocab: DataFrame) -> DataFrame:
     Counts are aggregated per token before the vocabulary is joined.
     """
     counts = samples.select(F.explode("sequence").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    known = lookup_join(counts, vocab, ["token"], spread_by="token")
+    known = lookup_join(counts, vocab, ["token"])
     return known.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("total"),
         F.coalesce(F.sum(F.when(F.col("idx").isNull(), F.col("n"))), F.lit(0)).alias("unknown"),
@@ -120,7 +120,7 @@ def resolve_spellings(tokens: DataFrame, vocab: DataFrame, aliases: dict[str, st
         "token", F.posexplode(spelling_candidates(F.col("token"), aliases)).alias("rank", "candidate")
     ).where(F.col("candidate").isNotNull())
     entries = vocab.select(F.col("token").alias("candidate"), F.lit(True).alias("known"))
-    hits = lookup_join(tried, entries, ["candidate"], "left", spread_by="token")
+    hits = lookup_join(tried, entries, ["candidate"])
     best = hits.groupBy("token").agg(F.min(F.when(F.col("known"), F.struct("rank", "candidate"))).alias("best"))
     return best.select("token", F.coalesce(F.col("best.candidate"), F.col("token")).alias("resolved"))
 
@@ -130,7 +130,7 @@ def spelling_table(samples: DataFrame, vocab: DataFrame, aliases: dict[str, str]
     tokens = samples.select(F.explode(F.array_distinct("sequence")).alias("token"))
     resolved = resolve_spellings(tokens, vocab, aliases)
     entries = vocab.select(F.col("token").alias("resolved"), "idx")
-    return lookup_join(resolved, entries, ["resolved"], spread_by="token").withColumn(
+    return lookup_join(resolved, entries, ["resolved"]).withColumn(
         "idx", F.coalesce("idx", F.lit(V.UNK_INDEX))
     )
 
