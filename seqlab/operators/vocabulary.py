@@ -64,7 +64,8 @@ def _encode_with_table(samples: DataFrame, entries: DataFrame, output: str) -> D
         offsets = pa.concat_arrays([pa.array([0], pa.int64()), pc.cumulative_sum(sizes.cast(pa.int64()))]).cast(pa.int32())
         return pa.ListArray.from_arrays(offsets, codes, mask=lists.is_null() if lists.null_count else None)
 
-    return samples.withColumn(output, encode(F.col("sequence"), _size()))
+    # filters on the result must stay above the function, next to its inputs
+    return samples.withColumn(output, encode.asNondeterministic()(F.col("sequence"), _size()))
 
 
 def _encode_with_join(samples: DataFrame, entries: DataFrame, output: str) -> DataFrame:
@@ -155,7 +156,7 @@ def rewrite_sequences(samples: DataFrame, table: DataFrame) -> DataFrame:
             offsets = pa.concat_arrays([pa.array([0], pa.int64()), pc.cumulative_sum(sizes.cast(pa.int64()))]).cast(pa.int32())
             return pa.ListArray.from_arrays(offsets, fixed, mask=lists.is_null() if lists.null_count else None)
 
-        return samples.withColumn("sequence", rewrite(F.col("sequence"), _size()))
+        return samples.withColumn("sequence", rewrite.asNondeterministic()(F.col("sequence"), _size()))
     calls = samples.select("sample_id", F.posexplode("sequence").alias("pos", "token"))
     fixed = lookup_join(calls, changed, ["token"], max_broadcast_rows=0).withColumn(
         "token", F.coalesce("resolved", "token")
