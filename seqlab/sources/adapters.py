@@ -34,7 +34,7 @@ def raw_doc_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as samples: opened tags are calls, in page order."""
-    return table(spark, sf_dir, "pages").select(
+    return runtime.spread(table(spark, sf_dir, "pages").select("page_id", "html")).select(
         F.col("page_id").cast("string").alias("sample_id"), "page_id",
         F.regexp_extract_all("html", F.lit("<([a-z0-9]+)"), F.lit(1)).alias("sequence"),
         F.concat(F.lit("c"), (F.col("page_id") % 4).cast("string")).alias("label"),

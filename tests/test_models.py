@@ -124,7 +124,7 @@ def test_transition_scores_without_broadcast(prepared, monkeypatch):
     model = markov.train_transitions(tr, 3, size, 30)
     a = {r["sample_id"]: list(r["probs"]) for r in markov.score_padded(test, model, size).collect()}
     original = skew.lookup_join
-    monkeypatch.setattr(markov, "lookup_join", lambda f, d, on, **k: original(f, d, on, max_broadcast_rows=0, hot_keys=3))
+    monkeypatch.setattr(markov, "lookup_join", lambda f, d, on, **_: original(f, d, on, max_broadcast_rows=0, hot_keys=3))
     b = {r["sample_id"]: list(r["probs"]) for r in markov.score_padded(test, model, size).collect()}
     assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k]) for k in a)
 
