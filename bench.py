@@ -20,7 +20,7 @@ HEADLINE = [
     "F5_transition_shares_dampened", "F7_engineered_features", "F6_feature_matrix", "R1_stratified_split", "R3_augment",
     "J4_unified_labels", "K1_select_targets", "V1_family_vote", "J8_label_from_reports", "T1_parse_traces", "T2_trace_rows",
     "S1_aligned_text", "G2_per_class", "G6_roc_auc", "G8_secondary_hit_rate", "G10_generalisation_gap", "M5_confidence_gate",
-    "M2_transition_scores", "M1_forest_scores", "M10_score_texts",
+    "M2_transition_scores", "M1_forest_scores", "M10_prepared_texts",
 ]
 
 
