@@ -196,3 +196,66 @@ def ceil_div(a: int, b: int) -> int:
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
+
+
+def packed_blocks(df: DataFrame, order: list[Column], rows: int, name: str, schema: str, pack) -> DataFrame:
+    """Cut ``df``, sorted by ``order``, into blocks of ``rows`` rows; ``pack`` turns each into one row.
+
+    ``schema`` starts with ``block long``. A block is filled across partitions, so its size does not
+    depend on how the rows were dealt.
+    """
+    ranged = numbered(df.repartitionByRange(*order).sortWithinPartitions(*order), "_no")
+    cut = ranged.withColumn("block", F.expr(f"_no div {rows}")).drop("_no")
+    made = cut.groupBy("block").applyInPandas(lambda key, f: pack(key[0], f), schema)
+    return stored(made, name)
+
+
+def second_moments(df: DataFrame, column: str = "x") -> dict[int, np.ndarray]:
+    """Sum of outer products of the packed float64 vectors, by dimension. d*d numbers reach the driver."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        for f in frames:
+            for d, part in f.groupby("dim"):
+                x = unpacked(part[column], d)
+                sums[d] = sums.get(d, 0) + x.T @ x
+        for d, s in sums.items():
+            i, j = np.indices(s.shape)
+            yield pd.DataFrame({"dim": d, "i": i.ravel(), "j": j.ravel(), "v": s.ravel()})
+
+    found: dict[int, np.ndarray] = {}
+    parts = df.select("dim", column).mapInPandas(run, "dim int, i int, j int, v double")
+    for r in parts.groupBy("dim", "i", "j").agg(F.sum("v").alias("v")).collect():
+        found.setdefault(r["dim"], np.zeros((r["dim"], r["dim"])))[r["i"], r["j"]] = r["v"]
+    return found
+
+
+def principal_axes(moments: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+    """Orthonormal axes by falling share of the squared length, as columns."""
+    return {d: np.linalg.eigh((m + m.T) / 2)[1][:, ::-1].copy() for d, m in moments.items()}
+
+
+def unpacked(column: pd.Series, dim: int, kind: type = np.float64) -> np.ndarray:
+    return np.frombuffer(b"".join(column), kind).reshape(-1, dim)
+
+
+def vector_rows(vectors: DataFrame, whole: bool = False) -> DataFrame:
+    """(vec_id, dim, x) for usable vectors: x packs the float64 components (``whole``: floor(64 x)).
+
+    A vector that is null, empty or holds a null or non-finite component is left out.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            ids, dims, data = [], [], []
+            for i, e in zip(f["vec_id"], f["embedding"]):
+                x = None if e is None else np.array(e, np.float64)
+                if x is None or not x.size or not np.isfinite(x).all():
+                    continue
+                ids.append(int(i))
+                dims.append(x.size)
+                data.append((np.floor(64 * x) if whole else x).tobytes())
+            yield pd.DataFrame({"vec_id": pd.Series(ids, dtype="int64"), "dim": pd.Series(dims, dtype="int32"), "x": data})
+
+    with_id = vectors.where("vec_id IS NOT NULL").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    return with_id.mapInPandas(run, "vec_id long, dim int, x binary")

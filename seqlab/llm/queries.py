@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqlab.llm import simhash_tiles
+from seqlab.llm import embedding_tiles, mixture_packing, piece_viterbi, quality_network, simhash_tiles, topk_search, warc_index
 from seqlab.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,3 +23,51 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 def op8_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_tiles.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op3_embedding_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_tiles.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query
+def op9_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture_packing.pack(table(spark, sf_dir, "documents"), mixture_packing.public_vocabulary())
+
+
+@query
+def op10_piece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: the pieces of its text and whether decoding gives the text back."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return piece_viterbi.round_trip(docs, piece_viterbi.public_model()).select(
+        "doc_id", "n_ids", "ids_crc32", "score", "n_bytes", "same_text"
+    )
+
+
+ORACLES["op7_topk_search"] = """
+WITH v AS (
+  SELECT vec_id, [cast(floor(64 * cast(x AS double)) AS bigint) FOR x IN embedding] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, cast(list_dot_product(cast(q.e AS double[]), cast(c.e AS double[])) AS bigint) AS score
+      FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, cast(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS int) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20"""
+
+
+@query
+def op1_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_index.archived(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+@query
+def op5_quality_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    found = quality_network.scored(docs, labels, quality_network.fold("doc_id") % 5 != 0)
+    return found.select("doc_id", (quality_network.fold("doc_id") % 5 == 0).alias("held_out"), "score", "predicted")
