@@ -47,7 +47,7 @@ def write_blocks(docs: DataFrame, folder: str, block_bytes: int = BLOCK_BYTES) -
             head += np.array([0 if pd.isna(i) else int(i) for i in ids], np.int64).tobytes()
             head += np.array([len(t) for t in texts], np.int64).tobytes() + np.array([len(t) for t in extra], np.int64).tobytes()
             data = zstandard.ZstdCompressor(level=1).compress(head + b"".join(texts) + b"".join(extra))
-            with fs.open_output_stream(f"{base}/{name}") as out:
+            with fs.open_output_stream(f"{base}/{name}", compression=None) as out:
                 out.write(data)
             row = pd.DataFrame({"block": [(part << 24) + no], "file": [name], "n_docs": [len(ids)], "n_bytes": [size]})
             ids, texts, extra, size, no = [], [], [], 0, no + 1

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqlab.llm import embedding_tiles, mixture_packing, piece_viterbi, quality_network, simhash_tiles, topk_search, warc_index
+from seqlab.llm import (
+    embedding_tiles, mixture_packing, piece_viterbi, quality_network, simhash_tiles, suffix_radix, topk_search, warc_index,
+)
 from seqlab.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +73,11 @@ def op5_quality_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     found = quality_network.scored(docs, labels, quality_network.fold("doc_id") % 5 != 0)
     return found.select("doc_id", (quality_network.fold("doc_id") % 5 == 0).alias("held_out"), "score", "predicted")
+
+
+@query
+def op6_suffix_radix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    removed = F.aggregate(F.zip_with("ends", "starts", lambda e, s: e - s), F.lit(0).cast("long"), lambda a, x: a + x)
+    return suffix_radix.repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )

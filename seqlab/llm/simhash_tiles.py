@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqlab.llm.common import checkpointed, components, fetch_pairs, local_forest, numbered, salted_join
+from seqlab.llm.common import checkpointed, components, fetch_pairs, local_forest, packed_blocks, salted_join
 
 SHINGLE = 3
 RADIUS = 2
@@ -92,28 +92,11 @@ def close_pairs(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[
     return x[keep], y[keep]
 
 
-def _pack(tile: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        rows = 0
-
-        def out(f: pd.DataFrame) -> pd.DataFrame:
-            fp = f["fp"].to_numpy().view(np.uint64)
-            n = lanes(np.ascontiguousarray(fp))
-            return pd.DataFrame({"lo": [n.min(0).tolist()], "hi": [n.max(0).tolist()], "data": [fp.tobytes()], "data_id": [f["id"].to_numpy(np.int64).tobytes()]})
-
-        for f in frames:
-            held.append(f)
-            rows += len(f)
-            if rows >= tile:
-                f = pd.concat(held)
-                for at in range(0, rows - rows % tile, tile):
-                    yield out(f.iloc[at: at + tile])
-                held, rows = [f.iloc[rows - rows % tile:]], rows % tile
-        if rows:
-            yield out(pd.concat(held))
-
-    return run
+def _pack(block: int, f: pd.DataFrame) -> pd.DataFrame:
+    f = f.sort_values(["pop", "l0", "l1", "l2", "l3", "fp"])
+    fp = f["fp"].to_numpy(np.int64).view(np.uint64)
+    n = lanes(np.ascontiguousarray(fp))
+    return pd.DataFrame({"block": [block], "lo": [n.min(0).tolist()], "hi": [n.max(0).tolist()], "data": [fp.tobytes()], "data_id": [f["id"].to_numpy(np.int64).tobytes()]})
 
 
 def lane_count(column: str, lane: int):
@@ -125,11 +108,8 @@ def near_links(classes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> Da
     counts = [lane_count("fp", i).alias(f"l{i}") for i in range(4)]
     order = ["pop", "l0", "l1", "l2", "l3", "fp"]
     ranked = classes.select("id", "fp", F.bit_count("fp").alias("pop"), *counts)
-    packed = (
-        ranked.repartitionByRange(*order).sortWithinPartitions(*order)
-        .mapInPandas(_pack(tile), "lo array<int>, hi array<int>, data binary, data_id binary")
-    )
-    tiles = numbered(packed, "block")
+    schema = "block long, lo array<int>, hi array<int>, data binary, data_id binary"
+    tiles = packed_blocks(ranked, [F.col(c) for c in order], tile, "tiles", schema, _pack)
     total = lambda c: F.aggregate(c, F.lit(0), lambda s, x: s + x)
     # a tile covers a range of population counts; pairs of ranges further apart than the radius never meet
     pops = tiles.select("block", "lo", "hi").withColumn("p0", total("lo")).withColumn("p1", total("hi"))

@@ -353,12 +353,9 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     types = docs.select(*rest).schema
     found = repeats(docs.select("doc_id", "text", F.to_json(F.struct(*rest)).alias("extra")) if rest else docs, length)
     back = found.withColumn("r", F.from_json("extra", types)) if rest else found
-    out = back.select("doc_id", _decoded("kept").alias("text"), *[F.col(f"r.{c}").alias(c) for c in rest])
+    decoded = F.pandas_udf(lambda kept: kept.map(lambda b: b.decode("utf-8", "ignore")), "string")
+    out = back.select("doc_id", decoded("kept").alias("text"), *[F.col(f"r.{c}").alias(c) for c in rest])
     if "n_chars" in rest:
         out = out.withColumn("n_chars", F.length("text").cast(types["n_chars"].dataType))
     return out.select(*docs.columns)
 
-
-@F.pandas_udf("string")
-def _decoded(kept: pd.Series) -> pd.Series:
-    return kept.map(lambda b: b.decode("utf-8", "ignore"))

@@ -124,7 +124,7 @@ def write_archives(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES)
                     if out is not None:
                         out.close()
                     name, at = f"{uuid.uuid4().hex}.warc.gz", 0
-                    out = fs.open_output_stream(f"{base}/{name}")
+                    out = fs.open_output_stream(f"{base}/{name}", compression=None)
                 r = {"page_id": int(page), "url": url, "stamp": _stamp(int(page)), "digest": digest_of(payload)}
                 r |= {"refers_to": to, "record_type": "response" if pd.isna(to) else "revisit"}
                 data = record_bytes(r, payload)
@@ -159,7 +159,7 @@ def build_index(captures: DataFrame, folder: str, lines: int = LINES) -> DataFra
             for key, file, offset, length in zip(f["key"], f["file"], f["offset"], f["length"]):
                 if out is None:
                     fs.create_dir(base, recursive=True)
-                    out = fs.open_output_stream(f"{base}/{name}")
+                    out = fs.open_output_stream(f"{base}/{name}", compression=None)
                 held.append(f"{key}\t{file}\t{offset}\t{length}")
                 if len(held) >= lines:
                     flush()

@@ -23,13 +23,13 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[bytes, bytes] = {}
 
     def packed(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, packed; null is an empty text."""
         out = []
         for text in texts:
-            words = (text or "").encode("utf-8", "replace").decode().split()
+            words = (text or "").encode("utf-8", "replace").split()  # bytes: at ASCII white space only
             get = self.cache.get
             try:
                 out.append(b"".join(map(get, words)))
@@ -39,7 +39,7 @@ class WordIds:
             if len(self.cache) > CACHE_WORDS:
                 self.cache.clear()
             new = list({w for w in words if w not in self.cache})
-            for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
+            for w, e in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)):
                 self.cache[w] = np.array(e.ids, self.kind).tobytes()
             out.append(b"".join(map(self.cache.__getitem__, words)))
         return out

@@ -46,8 +46,8 @@ def test_pieces_of_many_sources(spark, rng):
     sources = ["a"] * 60 + ["b"] * 30 + [None] * 8 + [f"s{i}" for i in range(20)]
     rows = [(i, " ".join(["word"] * int(rng.integers(0, 90))) if i % 11 else None, s) for i, s in enumerate(sources)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
-    got = op.pack(df, op.public_vocabulary(), size=64).collect()
-    check(got, [(i, t) for i, t, _ in rows], 64)
+    got = op.pack(df, op.public_vocabulary(), size=256).collect()
+    check(got, [(i, t) for i, t, _ in rows], 256)
     # every full window holds the sources' shares to a token
     own = {}
     for r in got:
@@ -56,8 +56,8 @@ def test_pieces_of_many_sources(spark, rng):
         own[s][r["sequence_id"]] += r["length"]
     all_tokens = sum(r["length"] for r in got)
     for s in ("a", "b"):
-        share = sum(own[s].values()) / all_tokens * 64
-        assert all(abs(own[s].get(w, 0) - share) < 2 for w in range(all_tokens // 64))
+        share = sum(own[s].values()) / all_tokens * 256
+        assert all(abs(own[s].get(w, 0) - share) < 2 for w in range(all_tokens // 256))
 
 
 def test_small_and_empty(docs):
