@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqlab.llm import (
-    embedding_tiles, mixture_packing, piece_viterbi, quality_network, simhash_tiles, suffix_radix, topk_search, warc_index,
+    embedding_tiles, mixture_packing, pii_surrogates, piece_viterbi, quality_network, simhash_tiles, suffix_radix, topk_search,
+    warc_index,
 )
 from seqlab.llm.common import table
 
@@ -81,3 +82,10 @@ def op6_suffix_radix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_radix.repeats(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes", removed.alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+@query
+def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's text with surrogates; a deployment passes its own secret key."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii_surrogates.replaced(docs, "corpus-surrogates").select("doc_id", "text", "n_replaced")
