@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from seqlab.llm.common import checkpointed, open_fs
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 
 
 def text_bytes(text: str | None) -> bytes:

@@ -30,7 +30,7 @@ from seqlab.llm.common import checkpointed, released, stored
 from seqlab.runtime import scratch_path
 
 LENGTH = 50
-SEGMENT = 2 << 20
+SEGMENT = 1 << 20
 BUCKET_BYTES = 16 << 20
 LEAST_BITS = 7
 LAST = np.iinfo(np.int64).max
@@ -289,7 +289,7 @@ def _marked(folder: str, length: int, bits: int):
         low = np.frombuffer(b"".join(g[1] for g in got), np.int64)
         flat = np.frombuffer(b"".join(g[2] for g in got), np.int64)
         n = len(block.buffer)
-        change = np.zeros(n + 1, np.int64)
+        cover = np.zeros(n, bool)
         if len(s.index):
             own = order_of(block)[s.doc]
             even = ~mixed[s.index] & (low[s.index] < own)
@@ -301,8 +301,10 @@ def _marked(folder: str, length: int, bits: int):
             hit = flat[np.repeat(begin[s.index[odd]], many) + step] < np.repeat(own[odd], many)
             start = (np.repeat(s.lo[odd], many) + step)[hit]
             begins, ends = np.concatenate([s.lo[even], start]), np.concatenate([s.hi[even], start]) + length
-            change += np.bincount(begins, minlength=n + 1) - np.bincount(ends, minlength=n + 1)
-        cover = np.cumsum(change[:-1]) > 0
+            change = np.bincount(begins, minlength=n + 1)
+            change -= np.bincount(ends, minlength=n + 1)
+            cover = np.cumsum(change[:-1], out=change[:-1]) > 0
+            del change
         # the runs of every document: a run ends where its document does
         edge = np.zeros(n + 1, bool)
         edge[block.starts] = True
@@ -330,18 +332,19 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     spark = docs.sparkSession
     folder = scratch_path(spark, "suffix-blocks")
     blocks = write_blocks(docs, folder)
-    total = blocks.agg(F.sum("n_bytes").alias("n")).first()["n"] or 0
+    size = blocks.agg(F.sum("n_bytes").alias("n"), F.count(F.lit(1)).alias("blocks")).first()
+    total, tasks = size["n"] or 0, max(1, size["blocks"])  # a task per block: rows here stand for much work
     bits = max(LEAST_BITS, int(total // BUCKET_BYTES).bit_length())
     row = "bucket int, block long, file string, data binary"
-    offered = blocks.repartition("block").mapInPandas(_offered(folder, length, bits), "bucket int, block long, file string, n long, data binary")
-    again = stored(offered.groupBy("bucket").applyInPandas(_repeated, row), "anchors")
-    sent = again.groupBy("block").applyInPandas(_sent(folder, length, bits), row)
-    answers = stored(sent.groupBy("bucket").applyInPandas(_sorted_bucket(length), row), "answers")
+    offered = blocks.repartition(tasks).mapInPandas(_offered(folder, length, bits), "bucket int, block long, file string, n long, data binary")
+    again = stored(offered.repartition(1 << bits, "bucket").groupBy("bucket").applyInPandas(_repeated, row), "anchors")
+    sent = again.repartition(tasks, "block").groupBy("block").applyInPandas(_sent(folder, length, bits), row)
+    answers = stored(sent.repartition(1 << bits, "bucket").groupBy("bucket").applyInPandas(_sorted_bucket(length), row), "answers")
     released(spark)
     all_blocks = blocks.select(F.lit(-1).alias("bucket"), "block", "file", F.lit(None).cast("binary").alias("data"), F.lit(0).alias("kind"))
     both = all_blocks.unionByName(again.withColumn("kind", F.lit(1))).unionByName(answers.withColumn("kind", F.lit(2)))
     out = "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary, extra string"
-    return both.groupBy("block").applyInPandas(_marked(folder, length, bits), out)
+    return both.repartition(tasks, "block").groupBy("block").applyInPandas(_marked(folder, length, bits), out)
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
