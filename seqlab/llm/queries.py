@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqlab.llm import (
-    embedding_tiles, mixture_packing, pii_surrogates, piece_viterbi, quality_network, simhash_tiles, suffix_radix, topk_search,
-    warc_index,
+    embedding_tiles, gated_lm, mixture_packing, pii_surrogates, piece_viterbi, quality_network, simhash_tiles, suffix_radix,
+    topk_search, warc_index,
 )
 from seqlab.llm.common import table
 
@@ -89,3 +89,8 @@ def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's text with surrogates; a deployment passes its own secret key."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii_surrogates.replaced(docs, "corpus-surrogates").select("doc_id", "text", "n_replaced")
+
+
+@query
+def op2_gated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gated_lm.scored(table(spark, sf_dir, "documents"))
