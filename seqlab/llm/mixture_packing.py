@@ -98,7 +98,7 @@ def queue_table(totals: DataFrame, size: int = SIZE, least: int = LEAST) -> tupl
     so there are at most size / least own queues, whatever the number of sources.
     """
     total = totals.agg(F.sum("own").alias("t")).first()["t"] or 0
-    large = {r["source"]: r["own"] for r in totals.where(F.col("own") * size >= F.lit(least) * total).collect()}
+    large = {r["source"]: r["own"] for r in totals.where(F.col("own") >= max(1, -(-least * total // size))).collect()}
     rest = total - sum(large.values())
     own = dict(sorted(large.items()))
     common = ""

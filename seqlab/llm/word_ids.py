@@ -3,18 +3,42 @@
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 
 END = 2
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
+CACHE_RUNS = 300_000
+# Words of these characters alone (no apostrophe) are cut by the tokenizer into runs of letters, single digits and
+# runs of other signs, each encoded on its own in lower case.
+_PLAIN = re.compile(r"[!-&(-~À-ÖØ-öø-ÿ]*")
+_RUNS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+
+
+class Recent(dict):
+    """A cache of two generations: when one is full the older is dropped, and what is asked for again moves up."""
+
+    def __init__(self, most: int, make):
+        super().__init__()
+        self.most, self.make, self.older = most, make, {}
+
+    def __missing__(self, key):
+        got = self.older.get(key)
+        if got is None:
+            got = self.make(key)
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[key] = got
+        return got
 
 
 class WordIds:
-    """Ids of ``tokenizer.encode(text, add_special_tokens=False)`` from a cache of words.
+    """Ids of ``tokenizer.encode(text, add_special_tokens=False)`` from caches of words and of runs in words.
 
     White space separates words for good in this tokenizer (it is removed, and no rule joins what it
-    separates), so a text's ids are those of its words in order. The cache is emptied when it is full.
+    separates), so a text's ids are those of its words in order.
     """
 
     def __init__(self, path: str):
@@ -23,26 +47,22 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.cache: dict[bytes, bytes] = {}
+        self.words, self.runs = Recent(CACHE_WORDS, self._word), Recent(CACHE_RUNS, self._encoded)
+
+    def _encoded(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode()
+        if "<|" in text or not _PLAIN.fullmatch(text):  # may hold an added token, or need the tokenizer's own rules
+            return self._encoded(text)
+        return b"".join(map(self.runs.__getitem__, _RUNS.findall(text.lower())))
 
     def packed(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, packed; null is an empty text."""
-        out = []
-        for text in texts:
-            words = (text or "").encode("utf-8", "replace").split()  # bytes: at ASCII white space only
-            get = self.cache.get
-            try:
-                out.append(b"".join(map(get, words)))
-                continue
-            except TypeError:  # a word that is not in the cache
-                pass
-            if len(self.cache) > CACHE_WORDS:
-                self.cache.clear()
-            new = list({w for w in words if w not in self.cache})
-            for w, e in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)):
-                self.cache[w] = np.array(e.ids, self.kind).tobytes()
-            out.append(b"".join(map(self.cache.__getitem__, words)))
-        return out
+        of = self.words.__getitem__
+        # bytes are split at ASCII white space only
+        return [b"".join(map(of, (t or "").encode("utf-8", "replace").split())) for t in texts]
 
 
 _LOADED: dict[str, WordIds] = {}

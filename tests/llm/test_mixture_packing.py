@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -9,6 +10,9 @@ from seqlab.llm.word_ids import WordIds
 
 def test_word_cache_gives_the_tokenizers_ids():
     texts = ["It's  A\tTest of é é <|endoftext|> ǅ Σ", "", None, "12 345 x'll!! \n\r\x0b", "a" * 5000, "́x <|end oftext|>", "\x1c\x85 z"]
+    r = random.Random(1)
+    letters = "abÀéßÿ×÷ØøµªºÞ's09!*.|<>²½Ǆ你🙂 \u0301İK"
+    texts += ["".join(r.choice(letters) for _ in range(60)) for _ in range(300)] + ["<|ENDOFTEXT|> <|startoftext|>x"]
     words = WordIds(op.public_vocabulary())
     t = Tokenizer.from_file(op.public_vocabulary())
     for _ in range(2):
@@ -71,3 +75,14 @@ def test_huge_totals_stay_exact():
     at = 3 * 10**14 + 17
     a, n, w, off = op.pieces(at, 10_000, below, own, total, 4096)
     assert a[0] == at and n.sum() == 10_000 and (np.diff(a) == n[:-1]).all() and (off >= 0).all() and (off + n <= 4096).all()
+
+
+def test_word_cache_on_odd_characters():
+    r = random.Random(1)
+    letters = "abÀéßÿ×÷ØøµªºÞ's09!*.|<>²½Ǆ你🙂 ́İK\x00\x1f\x85"
+    texts = ["".join(r.choice(letters) for _ in range(60)) for _ in range(400)] + ["<|ENDOFTEXT|> <|startoftext|>x <|endoftext|>"]
+    words, t = WordIds(op.public_vocabulary()), Tokenizer.from_file(op.public_vocabulary())
+    words.words.most = words.runs.most = 50  # the generations change over and over
+    got = [np.frombuffer(b, words.kind).tolist() for b in words.packed(texts)]
+    for x, ids in zip(texts, got):
+        assert ids == t.encode(x, add_special_tokens=False).ids, x
