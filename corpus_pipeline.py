@@ -1,6 +1,61 @@
-"""The corpus pipeline: stages over documents, each written and read again by the next."""
+"""The corpus pipeline: stages over documents, each written and read again by the next.
+
+Low-quality documents go, one document of each near-duplicate group stays, passages that an earlier document has
+are cut out, personal data is replaced, and what is left is packed into sequences. A stage works on all rows the
+one before kept and, but for the last, returns the columns of documents.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from seqlab.llm import mixture_packing, pii_surrogates, quality_network, simhash_tiles, suffix_radix
+from seqlab.llm.common import stored, table
+
+KEY = "corpus-surrogates"  # a deployment sets its own secret
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_network.kept(docs, table(spark, sf_dir, "labels"), quality_network.fold("doc_id") % 5 != 0)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash_tiles.keep_one(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return suffix_radix.without_repeats(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii_surrogates.replaced(docs, KEY).select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixture_packing.pack(docs, mixture_packing.public_vocabulary())
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality classifier", quality),
+    ("SimHash near-dedup", near_duplicates),
+    ("suffix-array dedup", repeated_passages),
+    ("PII", personal_data),
+    ("packing", packing),
+]
+# Trained scores, links and token ids have no SQL; tests hold each stage against a plain version.
+ORACLE_SQL: str | None = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for no, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if no < len(STAGES) - 1:
+            docs = stored(docs, "pipeline")
+    return docs
+
+
+QUERIES = {"pipeline": run}
+ORACLES = {"pipeline": ORACLE_SQL} if ORACLE_SQL else {}

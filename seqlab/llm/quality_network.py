@@ -161,6 +161,13 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     return v.astype(np.float32)
 
 
+def document_vector(ids: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    total = np.zeros(DIM, np.float64)
+    for at in range(0, len(ids), 1 << 14):
+        total += vectors[ids[at: at + (1 << 14)]].sum(0, dtype=np.float32)
+    return np.append(total / max(1, len(ids)), np.log1p(len(ids)) / 10).astype(np.float32)
+
+
 def pooled(docs: DataFrame, vectors: np.ndarray) -> DataFrame:
     """(doc_id, x): the mean of the document's unit vectors, and the logarithm of its length, packed."""
     shared = docs.sparkSession.sparkContext.broadcast(vectors)  # BUCKETS * DIM numbers
@@ -168,14 +175,7 @@ def pooled(docs: DataFrame, vectors: np.ndarray) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         units, v = units_here(), shared.value
         for f in frames:
-            out = []
-            for t in f["text"]:
-                ids = units.of(t)
-                total = np.zeros(DIM, np.float64)
-                for at in range(0, len(ids), 1 << 14):
-                    total += v[ids[at: at + (1 << 14)]].sum(0, dtype=np.float32)
-                x = np.append(total / max(1, len(ids)), np.log1p(len(ids)) / 10)
-                out.append(x.astype(np.float32).tobytes())
+            out = [document_vector(units.of(t), v).tobytes() for t in f["text"]]
             yield pd.DataFrame({"doc_id": f["doc_id"].astype("Int64"), "x": out})
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, x binary")
@@ -253,3 +253,22 @@ def scored(docs: DataFrame, labels: DataFrame, learn: Column, keep: float = KEEP
             yield pd.DataFrame({"doc_id": f["doc_id"].astype("Int64"), "score": p, "predicted": (p >= keep).astype(np.int32)})
 
     return features.mapInPandas(run, "doc_id long, score double, predicted int")
+
+
+def kept(docs: DataFrame, labels: DataFrame, learn: Column, keep: float = KEEP, sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs`` with a score of ``keep`` at least, as they were; no text is shuffled."""
+    vectors = word_vectors(docs)
+    known = labels.where(F.col("quality").isin(0, 1) & learn).select("doc_id").distinct()
+    known = F.broadcast(checkpointed(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)))  # ``sample`` ids at most
+    network = fitted(pooled(docs.join(known, "doc_id", "left_semi"), vectors), labels, learn, sample)
+    shared = docs.sparkSession.sparkContext.broadcast(vectors)
+
+    def run(batches):
+        import pyarrow as pa
+
+        units, v = units_here(), shared.value
+        for b in batches:
+            x = np.array([document_vector(units.of(t), v) for t in b.column("text").to_pylist()], np.float64).reshape(-1, DIM + 1)
+            yield b.filter(pa.array(network.probability(x) >= keep))
+
+    return docs.mapInArrow(run, docs.schema)

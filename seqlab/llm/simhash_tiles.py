@@ -145,6 +145,6 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its group; all columns as they were."""
+    """The rows of ``docs`` whose doc_id is the smallest of its group, as they were; rows without a doc_id stay."""
     found = near_duplicates(docs, **options).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_semi")
+    return docs.join(found, "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL"))
