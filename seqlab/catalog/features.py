@@ -9,9 +9,10 @@ from seqlab import runtime
 from seqlab.catalog.registry import DOCS, EVENTS, PAGES, query, r6, sql_calls, sql_r6
 from seqlab.functions.arrays import vector_cells
 from seqlab.functions.encoding import one_hot
-from seqlab.functions.labels import call_category, short_feature_name
+from seqlab.functions.labels import category_from, short_feature_name
 from seqlab.operators import calls, explain, features, splits
 from seqlab.sources import adapters as src
+from seqlab.sources import readers
 
 CALLS = f"{DOCS}, calls AS ({sql_calls('docs')})"
 COUNTS = CALLS + """, cnt AS (SELECT sample_id, token, count(*) AS n FROM calls GROUP BY ALL),
@@ -283,7 +284,18 @@ def j7(spark, d):
     rows = src.table(spark, d, "orders").select(
         "o_orderkey", F.get(names, (F.col("o_orderkey") % len(_SAMPLE_CALLS)).cast("int")).alias("token")
     )
-    return rows.withColumn("category", call_category(F.col("token")))
+    return rows.withColumn("category", category_from(_SAMPLE_CALLS)(F.col("token")))
+
+
+# a call-to-category table as users keep it: two columns in CSV files, here named from the tokens of the events
+@query("J7_category_table", f"""WITH {EVENTS}, t AS (SELECT token, length(token) % 9 AS k, count(*) AS n FROM ev GROUP BY ALL)
+SELECT token, coalesce({V.CATEGORIES}[1 + k], 'other') AS category, n FROM t""")
+def j7_table(spark, d):
+    path = runtime.scratch_path(spark, "categories")
+    tokens = src.event_calls(spark, d).groupBy("token").agg(F.count("*").alias("n"))
+    named = F.get(F.array(*[F.lit(c) for c in V.CATEGORIES]), (F.length("token") % 9).cast("int"))
+    tokens.select("token", named.alias("category")).where("category IS NOT NULL").write.option("header", True).csv(path)
+    return tokens.select("token", category_from(readers.read_name_table(spark, path))(F.col("token")).alias("category"), "n")
 
 
 @query("K7_top_contributions", f"""WITH v AS (SELECT vec_id, unnest(range(len(embedding))) AS i, unnest(embedding)::double AS value FROM embeddings),

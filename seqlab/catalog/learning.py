@@ -166,13 +166,13 @@ def _page_texts(spark, d):
 
 @query("M10_prepared_texts", _PADDED)
 def m10_batch(spark, d):
-    vocab = v.vocabulary_dict(v.build_vocabulary(src.page_samples(spark, d)))
+    vocab = v.row_encoder(v.build_vocabulary(src.page_samples(spark, d)))
     return stream.prepare_texts(_page_texts(spark, d), vocab, 50).select("sample_id", joined("padded").alias("padded"))
 
 
 @query("M10_prepared_stream", _PADDED)
 def m10_stream(spark, d):
-    vocab = v.vocabulary_dict(v.build_vocabulary(src.page_samples(spark, d)))
+    vocab = v.row_encoder(v.build_vocabulary(src.page_samples(spark, d)))
     path, out, state = [runtime.scratch_path(spark, n) for n in ("texts", "prepared", "state")]
     _page_texts(spark, d).repartition(4).write.parquet(path)
     rows = stream.prepare_texts(stream.stream_texts(spark, path, files_per_batch=2), vocab, 50)

@@ -153,6 +153,8 @@ _ERRORS = f"""WITH {PRED_ORDERS}, c AS (SELECT y_true, y_pred, count(*) AS n FRO
 e AS (SELECT *, sum(n) OVER (PARTITION BY y_true)::bigint AS total, coalesce(sum(n) FILTER (WHERE y_true = y_pred) OVER (PARTITION BY y_true), 0)::bigint AS correct FROM c),
 r AS (SELECT 'c' || y_true AS true_class, total, correct, 'c' || y_pred AS pred_class, n,
   row_number() OVER (PARTITION BY y_true ORDER BY n DESC, y_pred) AS rank FROM e WHERE y_true <> y_pred)"""
+# y_pred of class c0 set right: a class without errors keeps its row
+_PERFECT = _ERRORS.replace("FROM po GROUP", "FROM (SELECT y_true, CASE WHEN y_true = 0 THEN 0 ELSE y_pred END AS y_pred FROM po) GROUP")
 
 
 @query("G9_error_destinations", f"{_ERRORS} SELECT * FROM r")
@@ -160,6 +162,12 @@ def g9(spark, d):
     return m.error_destinations(src.order_predictions(spark, d), _classes(spark, 5))
 
 
+@query("G9_class_without_errors", f"{_PERFECT} SELECT * FROM r UNION ALL SELECT DISTINCT 'c' || y_true, total, correct, NULL, NULL, NULL FROM e WHERE total = correct")
+def g9_perfect(spark, d):
+    preds = src.order_predictions(spark, d).withColumn("y_pred", F.when(F.col("y_true") == 0, 0).otherwise(F.col("y_pred")))
+    return m.error_destinations(preds, _classes(spark, 5))
+
+
 @query("K5_top_errors", f"{_ERRORS} SELECT * FROM r WHERE rank <= 3")
 def k5(spark, d):
     return m.error_destinations(src.order_predictions(spark, d), _classes(spark, 5), 3)

@@ -12,20 +12,19 @@ from seqlab import fixed_values as V
 CategoryOf = Callable[[Column], Column]
 
 
-def call_category(token: Column) -> Column:
-    """Behavioural category of a lowercase API call by its name."""
-    out = F.lit("other")
-    for name in reversed(list(V.CATEGORY_RULES)):
-        out = F.when(token.rlike("^(?:" + "|".join(V.CATEGORY_RULES[name]) + ")$"), F.lit(name)).otherwise(out)
-    return out
+def missing_table(token: Column) -> Column:
+    """Stands where a caller has not passed a call-to-category table."""
+    raise ValueError("pass category=category_from(table) with a call-to-category table")
 
 
 def category_from(table: dict[str, str], default: str = "other") -> CategoryOf:
     """Category lookup over a caller's own table (bounded by the literal)."""
-    items: list[Column] = []
-    for token, name in table.items():
-        items += [F.lit(token), F.lit(name)]
-    return lambda token: F.coalesce(F.try_element_at(F.create_map(*items), token), F.lit(default))
+
+    def lookup(token: Column) -> Column:
+        items = [F.lit(x) for entry in table.items() for x in entry]
+        return F.coalesce(F.try_element_at(F.create_map(*items), token), F.lit(default))
+
+    return lookup
 
 
 def families_in_label(label: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from seqlab import fixed_values as V
 from seqlab.functions.arrays import indices, let, ngrams, pairs, ratio, run_counts, total
-from seqlab.functions.labels import CategoryOf, call_category
+from seqlab.functions.labels import CategoryOf, missing_table
 
 STATISTIC_NAMES = (
     ["log_seq_length", "log_unique_count", "unique_ratio"]
@@ -157,12 +157,12 @@ def _category_shares(counts: Column, log_dampen: bool, category: CategoryOf) ->
     return _slot_shares(entries, len(V.CATEGORIES))
 
 
-def category_shares(seq: Column, log_dampen: bool = False, category: CategoryOf = call_category) -> Column:
+def category_shares(seq: Column, log_dampen: bool = False, category: CategoryOf = missing_table) -> Column:
     """Share of each category. The category is looked up once per distinct token."""
     return let(run_counts(seq), lambda c: _category_shares(c, log_dampen, category))
 
 
-def transition_shares(seq: Column, log_dampen: bool = False, category: CategoryOf = call_category) -> Column:
+def transition_shares(seq: Column, log_dampen: bool = False, category: CategoryOf = missing_table) -> Column:
     """Share of each category-to-category step, over distinct token bigrams."""
     k = len(V.CATEGORIES)
     entries = let(
@@ -186,7 +186,7 @@ def named_features(samples: DataFrame, values: Column, names: list[str]) -> Data
     )
 
 
-def engineered(seq: Column, log_dampen: bool = False, category: CategoryOf = call_category, drop_length: bool = False) -> Column:
+def engineered(seq: Column, log_dampen: bool = False, category: CategoryOf = missing_table, drop_length: bool = False) -> Column:
     """The 81 engineered values: statistics, categories, transitions."""
 
     def from_counts(c: Column) -> Column:
@@ -198,13 +198,13 @@ def engineered(seq: Column, log_dampen: bool = False, category: CategoryOf = cal
     return F.concat(let(run_counts(seq), from_counts), transition_shares(seq, log_dampen, category))
 
 
-def engineered_features(samples: DataFrame, log_dampen: bool = False, category: CategoryOf = call_category) -> DataFrame:
+def engineered_features(samples: DataFrame, log_dampen: bool = False, category: CategoryOf = missing_table) -> DataFrame:
     """Add ``features``: the 81 engineered columns as one vector."""
     return samples.withColumn("features", array_to_vector(engineered(F.col("sequence"), log_dampen, category)))
 
 
 def feature_matrix(
-    samples: DataFrame, vocab: DataFrame, log_dampen: bool = False, category: CategoryOf = call_category,
+    samples: DataFrame, vocab: DataFrame, log_dampen: bool = False, category: CategoryOf = missing_table,
     ngram_range: tuple[int, int] = V.TF_NGRAM_RANGE, drop_length: bool = False,
 ) -> DataFrame:
     """Add ``features``: n-gram shares followed by the engineered columns (sparse)."""
@@ -215,7 +215,7 @@ def feature_matrix(
     return out.drop("tf", "_eng")
 
 
-def short_trace_features(samples: DataFrame, vocab: DataFrame, category: CategoryOf = call_category) -> DataFrame:
+def short_trace_features(samples: DataFrame, vocab: DataFrame, category: CategoryOf = missing_table) -> DataFrame:
     """Variant for short traces: 1-2-grams, undampened, no length column."""
     return feature_matrix(samples, vocab, False, category, V.SHORT_TF_NGRAM_RANGE, drop_length=True)
 

@@ -197,19 +197,18 @@ def secondary_hits_by_family(preds: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def error_destinations(preds: DataFrame, classes: DataFrame, top: int | None = None) -> DataFrame:
-    """Per true class: total, correct and where its errors go, ranked."""
-    cells = confusion_counts(preds)
-    every = Window.partitionBy("y_true")  # at most k cells per class
-    rows = cells.select(
-        "y_true", "y_pred", "n", F.sum("n").over(every).alias("total"),
-        F.sum(F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(0)).over(every).alias("correct"),
-    ).where("y_true <> y_pred")
+    """Per true class: total, correct and where its errors go, ranked.
+
+    A class without errors has one row with neither a destination nor a rank.
+    """
+    errors = confusion_counts(preds).where("y_true <> y_pred").select("y_true", "y_pred", "n")
+    rows = class_totals(preds).join(errors, "y_true", "left")
     t = classes.select(F.col("class_idx").alias("y_true"), F.col("class_name").alias("true_class"))
     p = classes.select(F.col("class_idx").alias("y_pred"), F.col("class_name").alias("pred_class"))
-    named = rows.join(t, "y_true").join(p, "y_pred")
-    rank = F.row_number().over(Window.partitionBy("true_class").orderBy(F.desc("n"), "pred_class"))
+    named = rows.join(t, "y_true").join(p, "y_pred", "left")
+    rank = F.when(F.col("n").isNotNull(), F.row_number().over(Window.partitionBy("true_class").orderBy(F.desc("n"), "pred_class")))
     ranked = named.select("true_class", "total", "correct", "pred_class", "n", rank.alias("rank"))
-    return ranked if top is None else ranked.where(F.col("rank") <= top)
+    return ranked if top is None else ranked.where(F.col("rank").isNull() | (F.col("rank") <= top))
 
 
 def class_totals(preds: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seqlab import fixed_values as V
 from seqlab import runtime
-from seqlab.operators.skew import number_within
+from seqlab.operators.skew import number_within, rank_rows
 
 
 def draw(*parts: Column | str | int) -> Column:
@@ -30,30 +30,42 @@ def _shuffled_rank(samples: DataFrame, label: str, seed: int) -> DataFrame:
     ).drop("_draw")
 
 
+def _class_of(label: str) -> Column:
+    """The label as a key that is never null."""
+    return F.to_json(F.struct(F.col(label).alias("v"))).alias("_class")
+
+
 def stratified_split(
     samples: DataFrame, test_size: float = V.TEST_SIZE, seed: int = V.RANDOM_SEED, label: str = "label",
 ) -> DataFrame:
     """Add ``split`` ('train'/'test') with exact per-class test sizes.
 
     Only (id, label) pairs are ranked. Each class then has one cut in drawn
-    order, which the full rows are compared with where they are.
+    order, which the full rows are compared with where they are. Rows without a
+    label are a class of their own.
     """
-    keys = samples.select("sample_id", label)
-    sizes = runtime.small_table(keys.groupBy(label).agg(F.round(F.count("*") * F.lit(test_size)).cast("long").alias("_rank")))
+    keys = samples.select("sample_id", _class_of(label))
+    sizes = runtime.small_table(keys.groupBy("_class").agg(F.round(F.count("*") * F.lit(test_size)).cast("long").alias("_rank")))
     cuts = runtime.small_table(
-        _shuffled_rank(keys, label, seed).join(sizes, [label, "_rank"]).select(
-            label, F.struct(draw(F.col("sample_id"), seed).alias("d"), F.col("sample_id").alias("i")).alias("_cut")
+        _shuffled_rank(keys, "_class", seed).join(sizes, ["_class", "_rank"]).select(
+            "_class", F.struct(draw(F.col("sample_id"), seed).alias("d"), F.col("sample_id").alias("i")).alias("_cut")
         )
     )
     own = F.struct(draw(F.col("sample_id"), seed).alias("d"), F.col("sample_id").alias("i"))
     split = F.when(own <= F.col("_cut"), "test").otherwise("train")
-    return samples.join(cuts, label, "left").select(*samples.columns, split.alias("split"))
+    keyed = samples.withColumn("_class", _class_of(label))
+    return keyed.join(cuts, "_class", "left").select(*samples.columns, split.alias("split"))
 
 
 def stratified_folds(samples: DataFrame, k: int = V.CV_FOLDS, seed: int = V.RANDOM_SEED, label: str = "label") -> DataFrame:
-    """Add ``fold`` in 0..k-1; class sizes differ by at most one between folds."""
-    ranked = _shuffled_rank(samples, label, seed)
-    return ranked.withColumn("fold", F.pmod(F.col("_rank") - 1, F.lit(k)).cast("int")).drop("_rank")
+    """Add ``fold`` in 0..k-1; class sizes differ by at most one between folds.
+
+    Only (id, label) pairs are ranked; ids are unique. Rows without a label are a class of their own.
+    """
+    keys = samples.select("sample_id", _class_of(label))
+    ranked = _shuffled_rank(keys, "_class", seed)
+    folds = ranked.select("sample_id", F.pmod(F.col("_rank") - 1, F.lit(k)).cast("int").alias("fold")).dropDuplicates(["sample_id"])
+    return samples.join(folds, "sample_id").select(*samples.columns, "fold")
 
 
 def augment(
@@ -84,8 +96,9 @@ def class_weights(samples: DataFrame, label: str = "label") -> DataFrame:
 
 
 def add_class_weight(samples: DataFrame, label: str = "label", column: str = "weight") -> DataFrame:
-    weights = runtime.small_table(class_weights(samples, label).select(label, F.col("weight").alias(column)))
-    return samples.join(weights, label)
+    """Rows without a label are weighted as a class of their own."""
+    weights = runtime.small_table(class_weights(samples, label).select(F.col(label).alias("_class"), F.col("weight").alias(column)))
+    return samples.join(weights, F.col(label).eqNullSafe(F.col("_class"))).drop("_class")
 
 
 def without_label(samples: DataFrame, name: str, label: str = "label") -> DataFrame:
@@ -107,7 +120,7 @@ def large_classes_only(samples: DataFrame, minimum: int = V.MIN_CLASS_SIZE, labe
 def class_dimension(samples: DataFrame, label: str = "label") -> DataFrame:
     """(class_idx, class_name), alphabetical. One row per class."""
     names = samples.select(F.col(label).alias("class_name")).distinct()
-    return names.withColumn("class_idx", F.row_number().over(Window.orderBy("class_name")) - 1)
+    return rank_rows(names, ["class_name"], "class_idx")
 
 
 def index_labels(samples: DataFrame, classes: DataFrame, label: str = "label", column: str = "y") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -68,15 +70,24 @@ def _encode_with_table(samples: DataFrame, entries: DataFrame, output: str) -> D
     return samples.withColumn(output, encode.asNondeterministic()(F.col("sequence"), _size()))
 
 
+def _by_calls(samples: DataFrame, entries: DataFrame, value: Column, output: str) -> DataFrame:
+    """Replace tokens by joining calls to a table too large to ship.
+
+    Rows are told apart by a number of their own, fixed by a checkpoint, so equal
+    ids keep their own sequences; a null sequence stays null and an empty one empty.
+    """
+    rows = runtime.pin(samples.withColumn("_row", F.monotonically_increasing_id()))
+    calls = rows.select("_row", F.posexplode("sequence").alias("pos", "token"))
+    found = lookup_join(calls, entries, ["token"], max_broadcast_rows=0).withColumn("_value", value)
+    lists = found.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("pos", "_value"))).alias("_c"))
+    kind = dict(found.dtypes)["_value"]
+    empty = F.when(F.col("sequence").isNotNull(), F.array().cast(f"array<{kind}>"))
+    joined = rows.join(lists, "_row", "left").withColumn("_new", F.coalesce(F.col("_c._value"), empty))
+    return joined.withColumn(output, F.col("_new")).drop("_row", "_c", "_new")
+
+
 def _encode_with_join(samples: DataFrame, entries: DataFrame, output: str) -> DataFrame:
-    """Encode by joining calls to a vocabulary too large to ship."""
-    calls = samples.select("sample_id", F.posexplode("sequence").alias("pos", "token"))
-    coded = lookup_join(calls, entries, ["token"], max_broadcast_rows=0).withColumn(
-        "idx", F.coalesce("idx", F.lit(V.UNK_INDEX))
-    )
-    rows = coded.groupBy("sample_id").agg(F.sort_array(F.collect_list(F.struct("pos", "idx"))).alias("_c"))
-    joined = samples.join(rows, "sample_id", "left")
-    return joined.withColumn(output, F.coalesce(F.col("_c.idx"), F.array().cast("array<int>"))).drop("_c")
+    return _by_calls(samples, entries, F.coalesce("idx", F.lit(V.UNK_INDEX)), output)
 
 
 def encode_sequences(
@@ -92,12 +103,16 @@ def encode_sequences(
     return _encode_with_join(samples, vocab, output)
 
 
-def vocabulary_dict(vocab: DataFrame, limit: int = 500) -> dict[str, int]:
-    """A small vocabulary as literals, for row-local encoding on streams."""
-    rows = vocab.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"vocabulary has more than {limit} tokens; use encode_sequences")
-    return {r["token"]: r["idx"] for r in rows}
+def row_encoder(vocab: DataFrame, max_entries: int = MAX_LITERAL_VOCAB) -> Callable[[DataFrame, str], DataFrame]:
+    """(rows, output column) -> encoded rows, for streams and tables alike; the vocabulary is read once.
+
+    Up to ``max_entries`` tokens are shipped; a larger vocabulary is an error on
+    a stream, whose batches then go through ``encode_sequences``.
+    """
+    if not runtime.fits(vocab, max_entries):
+        raise ValueError(f"vocabulary has more than {max_entries} tokens; use encode_sequences on each batch")
+    kept = runtime.pin(vocab)
+    return lambda samples, output: _encode_with_table(samples, kept, output)
 
 
 def unknown_ratio(samples: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -136,13 +151,14 @@ def spelling_table(samples: DataFrame, vocab: DataFrame, aliases: dict[str, str]
     )
 
 
-def rewrite_sequences(samples: DataFrame, table: DataFrame) -> DataFrame:
+def rewrite_sequences(samples: DataFrame, table: DataFrame, max_entries: int = MAX_LITERAL_VOCAB) -> DataFrame:
     """Replace every token by its resolved spelling.
 
-    Only changed spellings are shipped: indices of the size-checked table.
+    Only changed spellings are shipped, up to ``max_entries``; beyond that the
+    calls travel to them, with the same result.
     """
     changed = runtime.pin(table.where("token <> resolved").select("token", "resolved"))
-    if runtime.fits(changed, MAX_LITERAL_VOCAB):
+    if runtime.fits(changed, max_entries):
         rows = changed.toPandas()
         shipped = samples.sparkSession.sparkContext.broadcast((rows["token"].tolist(), rows["resolved"].tolist()))
 
@@ -157,15 +173,7 @@ def rewrite_sequences(samples: DataFrame, table: DataFrame) -> DataFrame:
             return pa.ListArray.from_arrays(offsets, fixed, mask=lists.is_null() if lists.null_count else None)
 
         return samples.withColumn("sequence", rewrite.asNondeterministic()(F.col("sequence"), _size()))
-    calls = samples.select("sample_id", F.posexplode("sequence").alias("pos", "token"))
-    fixed = lookup_join(calls, changed, ["token"], max_broadcast_rows=0).withColumn(
-        "token", F.coalesce("resolved", "token")
-    )
-    rows = fixed.groupBy("sample_id").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("_c"))
-    return (
-        samples.drop("sequence").join(rows, "sample_id", "left")
-        .withColumn("sequence", F.coalesce(F.col("_c.token"), F.array().cast("array<string>"))).drop("_c")
-    )
+    return _by_calls(samples, changed, F.coalesce("resolved", "token"), "sequence")
 
 
 def normalise_sequences(samples: DataFrame, vocab: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:

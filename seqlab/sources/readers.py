@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqlab import fixed_values as V
@@ -29,7 +29,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_aligned_text(
-    spark: SparkSession, sequences: str, labels: str, max_len: int | None = V.MAX_RAW_SEQUENCE_LENGTH,
+    spark: SparkSession, sequences: str, labels: str, max_len: int | None = None,
 ) -> DataFrame:
     """(sample_id, sequence, label) from a token file and a label file joined by
     line. Blank lines are skipped in each file; unequal counts are an error."""
@@ -51,7 +51,8 @@ def read_wide_csv(spark: SparkSession, path: str) -> DataFrame:
     """(sample_id, sequence, label) from ``sha256,labels,0,1,..`` lines.
 
     Lines may have any number of cells, also more than the header; blank cells
-    are skipped.
+    are skipped. The header is the line whose label cell reads ``labels``; any
+    other label that is not a whole number is an error, as is a missing one.
     """
     cell = F.lit(r'(?:^|,)("(?:[^"]|"")*"|[^,]*)')
     cells = F.transform(
@@ -59,13 +60,25 @@ def read_wide_csv(spark: SparkSession, path: str) -> DataFrame:
         lambda c: F.trim(F.replace(F.regexp_replace(c, r'^"|"$', ""), F.lit('""'), F.lit('"'))),
     )
     rows = spark.read.text(path).where("trim(value) <> ''").select(cells.alias("c"))
-    return rows.where(F.get("c", F.lit(1)).rlike(r"^-?\d+$")).select(
+    flag = F.get("c", F.lit(1))
+    whole = F.coalesce(flag.rlike(r"^-?\d+$"), F.lit(False))
+    checked = F.when(whole, flag).otherwise(F.raise_error(F.concat(F.lit("label is not a whole number in line of "), F.get("c", F.lit(0)))))
+    return rows.where(F.coalesce(flag != "labels", F.lit(True))).select(
         F.get("c", F.lit(0)).alias("sample_id"),
         F.filter(F.slice("c", F.lit(3), F.greatest(F.size("c") - 2, F.lit(0))), lambda x: x != "").alias("sequence"),
-        _binary_label(F.get("c", F.lit(1))).alias("label"),
+        _binary_label(checked).alias("label"),
     )
 
 
+def read_name_table(spark: SparkSession, path: str, rows: int = 10_000) -> dict[str, str]:
+    """A small lookup table (call to category, code to name) from two-column CSV files with a header."""
+    table = spark.read.csv(path, header=True)
+    found = table.select(*[F.trim(c).alias(n) for c, n in zip(table.columns[:2], "kv")]).limit(rows + 1).collect()
+    if len(found) > rows:
+        raise ValueError(f"more than {rows} names in {path}")
+    return {r["k"]: r["v"] for r in found if r["k"] is not None and r["v"] is not None}
+
+
 def read_coded_csv(
     spark: SparkSession, path: str, names: dict[int, str] | None = None, calls: int = V.SHORT_TRACE_CALLS,
 ) -> DataFrame:
@@ -89,7 +102,7 @@ def _secondary(column_type: str) -> Column:
 
 
 def read_extracted(
-    spark: SparkSession, path: str, drop_trojan: bool = True, max_len: int | None = V.MAX_RAW_SEQUENCE_LENGTH,
+    spark: SparkSession, path: str, drop_trojan: bool = True, max_len: int | None = None,
 ) -> DataFrame:
     """Samples from the extracted-trace Parquet; rows without a class are left out."""
     rows = spark.read.parquet(path).select(
@@ -116,23 +129,28 @@ def read_trace_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_label_documents(spark: SparkSession, path: str, per_line: bool = False) -> DataFrame:
-    """(doc, value): JSON label documents, one per file or one per line."""
+    """(doc, value): JSON label documents, one per file or one per line; ``doc`` rises in path or line order."""
     if per_line:
         return numbered_lines(spark, path).select(F.col("line_no").alias("doc"), "value")
-    return spark.read.text(path, wholetext=True).select(F.xxhash64("_metadata.file_path").alias("doc"), "value")
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("doc"), "value")
 
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
-    """(hash, response) stored antivirus responses; a missing store is empty.
+    """(hash, response) stored antivirus responses, those of a hash's last save; a missing store is empty.
 
     A null response is a stored negative answer and is kept.
     """
     try:
-        return spark.read.parquet(path).select("hash", "response")
+        rows = spark.read.parquet(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], "hash string, response string")
+    if "saved_at" not in rows.columns:
+        return rows.select("hash", "response")
+    save = F.struct("saved_at", "batch")
+    last = F.max(save).over(Window.partitionBy("hash"))
+    return rows.withColumn("_last", last).where(save == F.col("_last")).select("hash", "response")
 
 
 def read_report_map(spark: SparkSession, path: str) -> DataFrame:

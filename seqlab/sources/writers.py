@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -47,8 +49,14 @@ def write_aligned_text(
 
 
 def write_reports(rows: DataFrame, path: str) -> None:
-    """Store (hash, response); the commit protocol makes the replace atomic per run."""
-    rows.select("hash", "response").write.mode("append").parquet(path)
+    """Add (hash, response) rows as one save; readers see the last save of a hash.
+
+    A save is appended, so readers never meet a half-replaced store.
+    """
+    stamp = datetime.now(timezone.utc)
+    rows.select(
+        "hash", "response", F.lit(stamp).alias("saved_at"), F.lit(uuid.uuid4().hex).alias("batch")
+    ).write.mode("append").parquet(path)
 
 
 def write_label_report(labelled: DataFrame, path: str, key: str = "hash") -> None:
@@ -67,23 +75,29 @@ def write_label_report(labelled: DataFrame, path: str, key: str = "hash") -> Non
 
 
 def reuse_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame], use_cache: bool = True) -> DataFrame:
-    """The stored table when it is complete, else build, store and read it."""
-    if use_cache:
-        try:
-            return spark.read.parquet(path)
-        except AnalysisException as error:
-            if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-                raise
+    """The stored table when its job had finished, else build, store and read it."""
+    if use_cache and finished(spark, path):
+        return spark.read.parquet(path)
     build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
+def finished(spark: SparkSession, path: str) -> bool:
+    """True when the job that wrote ``path`` left its success mark there."""
+    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)
+
+
 def append_new(rows: DataFrame, path: str, key: str) -> DataFrame:
-    """Append the rows whose key is not stored yet; returns the stored table."""
+    """Append the rows whose key is not stored yet; returns the stored table.
+
+    Keys are compared with nulls equal. Of several new rows of a key one is kept.
+    """
     spark = rows.sparkSession
+    rows = rows.dropDuplicates([key])
     try:
-        done = spark.read.parquet(path).select(key)
-        fresh = rows.join(done, key, "left_anti")
+        done = spark.read.parquet(path).select(F.col(key).alias("_done"))
+        fresh = rows.join(done, F.col(key).eqNullSafe(F.col("_done")), "left_anti")
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise

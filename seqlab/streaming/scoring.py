@@ -7,21 +7,25 @@ on every micro-batch.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from seqlab import fixed_values as V
 from seqlab.functions import cleaning
-from seqlab.functions.encoding import encode_literal, pad
+from seqlab.functions.encoding import pad
 from seqlab.plans.scoring import ModelSet, score_texts
 
 
-def prepare_texts(texts: DataFrame, vocab: dict[str, int], width: int, text: str = "text") -> DataFrame:
+def prepare_texts(
+    texts: DataFrame, encode: Callable[[DataFrame, str], DataFrame], width: int, text: str = "text",
+) -> DataFrame:
     """(sample_id, text) to (sample_id, sequence, encoded, padded); batch or stream."""
     parsed = texts.withColumn("sequence", cleaning.parse_text(F.col(text))).where(cleaning.long_enough(F.col("sequence")))
     cleaned = parsed.withColumn("sequence", cleaning.external(F.col("sequence"))).drop(text)
-    coded = cleaned.withColumn("encoded", encode_literal(F.col("sequence"), vocab))
+    coded = encode(cleaned, "encoded")
     return coded.withColumn("padded", pad(F.col("encoded"), width))
 
 

@@ -49,6 +49,22 @@ def test_encode_all_ways(spark, seqs):
         assert {r["sample_id"]: list(r["encoded"]) for r in out.collect()} == expected
 
 
+def test_large_tables_give_the_same_rows(spark):
+    """Null and empty sequences, equal ids and clashing column names, shipped or joined."""
+    rows = [("x", ["a", "zz"]), ("x", ["b"]), ("y", None), ("z", []), (None, ["b", None])]
+    samples = spark.createDataFrame([(*r, 1) for r in rows], "sample_id string, sequence array<string>, idx int")
+    vocab = table(spark, {"<PAD>": 0, "<UNK>": 1, "a": 2, "b": 3})
+    key = lambda r: (str(r[0]), str(r[1]))
+    for most in (10, 0):
+        got = v.encode_sequences(samples, vocab, max_entries=most)
+        assert sorted(((r["sample_id"], r["encoded"]) for r in got.collect()), key=key) == sorted(
+            [("x", [2, 1]), ("x", [3]), ("y", None), ("z", []), (None, [3, 1])], key=key)
+        spelled = spark.createDataFrame([("a", "b"), ("b", "b")], "token string, resolved string")
+        got = v.rewrite_sequences(samples, spelled, max_entries=most)
+        assert sorted(((r["sample_id"], r["sequence"]) for r in got.collect()), key=key) == sorted(
+            [("x", ["b", "zz"]), ("x", ["b"]), ("y", None), ("z", []), (None, ["b", None])], key=key)
+
+
 def test_pad(one):
     fixed = lambda xs: F.array(*[F.lit(x) for x in xs])
     assert one([], lambda _: pad(fixed([1, 2, 3]), 5)) == [1, 2, 3, 0, 0]

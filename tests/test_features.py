@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from seqlab import fixed_values as V
 from seqlab.functions.arrays import vector_cells
-from seqlab.functions.labels import call_category, category_from, short_feature_name
+from seqlab.functions.labels import category_from, short_feature_name
 from seqlab.operators import features as ft
+from seqlab.sources import readers
 
 TABLE = {"ntcreatefile": "filesystem", "ntreadfile": "filesystem", "regopenkeyexa": "registry", "connect": "network"}
 
@@ -71,27 +72,26 @@ def test_against_loops(seqs, rows, damp):
         assert len(s) < 2 or sum(steps[k]) == pytest.approx(1.0)
 
 
-def test_default_categories(one):
-    seq = ["ntcreatefile", "ntreadfile", "regopenkeyexa", "connect"]
-    got = dict(zip(V.CATEGORIES, one(seq, ft.category_shares)))
+def test_categories_of_a_table(one):
+    seq, of = ["ntcreatefile", "ntreadfile", "regopenkeyexa", "connect"], category_from(TABLE)
+    got = dict(zip(V.CATEGORIES, one(seq, lambda s: ft.category_shares(s, category=of))))
     assert got == {**dict.fromkeys(V.CATEGORIES, 0.0), "filesystem": 0.5, "registry": 0.25, "network": 0.25}
-    steps = dict(zip(ft.TRANSITION_NAMES, one(seq, ft.transition_shares)))
+    steps = dict(zip(ft.TRANSITION_NAMES, one(seq, lambda s: ft.transition_shares(s, category=of))))
     assert {k: round(x, 6) for k, x in steps.items() if x} == {
         "bigram_filesystem_filesystem": 0.333333, "bigram_filesystem_registry": 0.333333, "bigram_registry_network": 0.333333
     }
-    assert one(["ntcreatefile"], ft.transition_shares) == [0.0] * 64
+    assert one(["ntcreatefile"], lambda s: ft.transition_shares(s, category=of)) == [0.0] * 64
+    assert one(["unheard"], lambda s: ft.category_shares(s, category=of))[-1] == 1.0
+    with pytest.raises(ValueError, match="table"):
+        one(seq, ft.category_shares)
 
 
-def test_call_categories(spark):
-    want = {
-        "getvolumepathnamesforvolumenamew": "filesystem", "movefilewithprogressw": "filesystem", "ntquerydirectoryfile": "filesystem",
-        "regenumkeyw": "registry", "ntenumeratevaluekey": "registry", "registerhotkey": "synchronization", "select": "network",
-        "internetgetconnectedstateexa": "network", "internetclosehandle": "network", "thread32next": "process",
-        "ntterminatethread": "process", "ntcreatesection": "memory", "rtldecompressfragment": "memory", "unhookwindowshookex": "synchronization",
-        "cryptunprotectdata": "cryptography", "ntclose": "other", "getsystemtimeasfiletime": "other", "ntdeviceiocontrolfile": "other", "selected": "other",
-    }
-    rows = spark.createDataFrame([(t,) for t in want], "t string")
-    assert {r["t"]: r["c"] for r in rows.select("t", call_category(F.col("t")).alias("c")).collect()} == want
+def test_read_name_table(spark, tmp_path):
+    path = tmp_path / "names.csv"
+    path.write_text("call,category\n connect , network\nregopenkeyexa,registry\n,x\ny,\n")
+    assert readers.read_name_table(spark, str(path)) == {"connect": "network", "regopenkeyexa": "registry"}
+    with pytest.raises(ValueError, match="more than 1"):
+        readers.read_name_table(spark, str(path), 1)
 
 
 def test_words_follow_word_pattern(one):
@@ -107,10 +107,11 @@ def test_ngram_shares_and_matrix(seqs):
     assert {r["ngram"]: r["col_idx"] for r in vocab.collect()} == {"aa": 0, "bb": 1, "cc": 2}
     shares = {(r["sample_id"], r["ngram"]): r["value"] for r in ft.ngram_shares(samples, vocab, (1, 1)).collect()}
     assert shares == {("0", "aa"): 2 / 3, ("0", "bb"): 1 / 3, ("1", "bb"): 0.5, ("1", "cc"): 0.5}
-    full = ft.feature_matrix(samples, vocab, ngram_range=(1, 1))
+    of = category_from(TABLE)
+    full = ft.feature_matrix(samples, vocab, category=of, ngram_range=(1, 1))
     assert {r["features"].size for r in full.collect()} == {3 + 9 + 8 + 64}
-    assert {r["features"].size for r in ft.short_trace_features(samples, vocab).collect()} == {3 + 80}
-    assert {r["features"].size for r in ft.engineered_features(samples).collect()} == {81}
+    assert {r["features"].size for r in ft.short_trace_features(samples, vocab, of).collect()} == {3 + 80}
+    assert {r["features"].size for r in ft.engineered_features(samples, category=of).collect()} == {81}
     cells = full.where("sample_id = '0'").select(F.inline(vector_cells(F.col("features")))).where("i < 3").collect()
     assert {r["i"]: r["x"] for r in cells} == {0: 2 / 3, 1: 1 / 3} or {r["i"]: r["x"] for r in cells} == {0: 2 / 3, 1: 1 / 3, 2: 0.0}
     names = ft.feature_names(vocab).orderBy("col_idx").collect()

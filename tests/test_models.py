@@ -6,11 +6,16 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqlab import fixed_values as V
+from seqlab.functions.labels import category_from
 from seqlab.operators import explain, features, markov, metrics, splits, trees
 from seqlab.operators import vocabulary as v
 from seqlab.plans import preparation, scoring
 from seqlab.streaming import scoring as stream
 
+CATEGORY = category_from({
+    "ntcreatefile": "filesystem", "ntreadfile": "filesystem", "connect": "network", "send": "network", "recv": "network",
+    "regopenkeyexa": "registry", "regsetvalueexa": "registry",
+})
 KINDS = {"Adware": ["ntcreatefile", "ntreadfile"], "Spyware": ["connect", "send", "recv"], "Worms": ["regopenkeyexa", "regsetvalueexa"]}
 
 
@@ -33,7 +38,7 @@ def prepared(samples):
 @pytest.fixture(scope="module")
 def models(prepared):
     train, test, vocab = prepared
-    return scoring.train_models(train, test, vocab, width=50, max_features=40, n_estimators=8, max_depth=4)
+    return scoring.train_models(train, test, vocab, width=50, max_features=40, category=CATEGORY, n_estimators=8, max_depth=4)
 
 
 def test_prepared_parts(samples, prepared):
@@ -60,7 +65,7 @@ def test_suite_probabilities_and_quality(prepared, models):
 def test_saved_models_score_alike(spark, prepared, models, tmp_path):
     _, test, _ = prepared
     models.save(str(tmp_path / "m"))
-    again = scoring.ModelSet.load(spark, str(tmp_path / "m"))
+    again = scoring.ModelSet.load(spark, str(tmp_path / "m"), CATEGORY)
     a, b = [{r["sample_id"]: (list(r["p_first"]), list(r["p_second"])) for r in scoring.score_models(test, x).collect()} for x in (models, again)]
     assert a == b and len(a) == test.count()
 
@@ -139,7 +144,7 @@ def test_texts(spark, models):
 def test_stream_equals_batch(spark, models, samples, tmp_path):
     texts = samples.select("sample_id", F.array_join("sequence", " ").alias("text"))
     texts.repartition(3).write.parquet(str(tmp_path / "in"))
-    vocab = v.vocabulary_dict(models.vocab)
+    vocab = v.row_encoder(models.vocab)
     batch = {r["sample_id"]: list(r["padded"]) for r in stream.prepare_texts(texts, vocab, 40).collect()}
     rows = stream.prepare_texts(stream.stream_texts(spark, str(tmp_path / "in"), files_per_batch=1), vocab, 40)
     run = rows.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
@@ -152,7 +157,7 @@ def test_stream_equals_batch(spark, models, samples, tmp_path):
 
 def test_search_and_boosting(samples):
     classes = splits.class_dimension(samples)
-    rows = features.engineered_features(splits.index_labels(samples, classes), True).cache()
+    rows = features.engineered_features(splits.index_labels(samples, classes), True, CATEGORY).cache()
     found = trees.search_forest(rows, {"n_estimators": [3], "max_depth": [2, 4], "colsample_bytree": [0.6]}, n_iter=2)
     assert len(found.avgMetrics) == 2 and max(found.avgMetrics) > 0.7
     again = trees.draw_parameters(V.SEARCH_SPACE, 40)

@@ -72,6 +72,14 @@ def test_wide_csv(spark, tmp_path):
     assert rows == {"h1": (["NtOpen", "NtClose", "Extra", "More"], "Benign"), "h2": (["a,b", 'say "x"'], "Malware"), "h3": ([], "Malware")}
 
 
+def test_wide_csv_rejects_odd_labels(spark, tmp_path):
+    for no, label in enumerate(["", "1.0", "x"]):
+        path = tmp_path / f"odd{no}.csv"
+        path.write_text(f"sha256,labels,0\nh1,0,a\nh2,{label},b\n")
+        with pytest.raises(Exception, match="not a whole number in line of h2"):
+            readers.read_wide_csv(spark, str(path)).collect()
+
+
 def test_coded_csv(spark, tmp_path):
     path = tmp_path / "coded.csv"
     path.write_text("hash,t_0,t_1,t_2,malware\n m1 ,0,9,2,1\nm2,2,2,0,0\n")
@@ -102,6 +110,8 @@ def test_reports_store(spark, tmp_path):
     assert readers.read_reports(spark, path).count() == 0
     writers.write_reports(spark.createDataFrame([("a", "{}"), ("b", None)], "hash string, response string"), path)
     assert {r["hash"]: r["response"] for r in readers.read_reports(spark, path).collect()} == {"a": "{}", "b": None}
+    writers.write_reports(spark.createDataFrame([("a", "{~}"), ("c", "x")], "hash string, response string"), path)
+    assert {r["hash"]: r["response"] for r in readers.read_reports(spark, path).collect()} == {"a": "{~}", "b": None, "c": "x"}
     (tmp_path / "map.json").write_text(json.dumps({"a": {"data": 1}, "b": None}))
     assert {r["hash"]: r["response"] for r in readers.read_report_map(spark, str(tmp_path / "map.json")).collect()} == {"a": '{"data":1}', "b": None}
     (tmp_path / "broken.json").write_text("{")
@@ -123,6 +133,11 @@ def test_reuse_and_append(spark, tmp_path):
     assert writers.reuse_or_build(spark, path, lambda: make(3)).count() == 3
     assert writers.reuse_or_build(spark, path, lambda: make(9)).count() == 3
     assert writers.reuse_or_build(spark, path, lambda: make(9), use_cache=False).count() == 9
+    make(2).write.parquet(str(tmp_path / "half"))
+    (tmp_path / "half" / "_SUCCESS").unlink()
+    assert writers.reuse_or_build(spark, str(tmp_path / "half"), lambda: make(7)).count() == 7
     out = str(tmp_path / "out")
     assert writers.append_new(make(4), out, "k").count() == 4
     assert writers.append_new(make(6), out, "k").count() == 6
+    more = make(8).union(make(8)).union(spark.createDataFrame([(None,), (None,)], "k string"))
+    assert writers.append_new(more, out, "k").count() == 9 and writers.append_new(more, out, "k").count() == 9

@@ -34,6 +34,14 @@ def test_split_is_exact_and_reproducible(spark, samples):
         assert test == int(n * 0.2 + 0.5)
 
 
+def test_rows_without_a_label_are_a_class(spark):
+    rows = spark.createDataFrame([(str(i), None if i < 10 else "a") for i in range(30)], "sample_id string, label string")
+    folds = splits.stratified_folds(rows, 2).groupBy("label", "fold").count().collect()
+    assert sorted((str(r["label"]), r["fold"], r["count"]) for r in folds) == [("None", 0, 5), ("None", 1, 5), ("a", 0, 10), ("a", 1, 10)]
+    parts = splits.stratified_split(rows, 0.2).where("split = 'test'").groupBy("label").count().collect()
+    assert {r["label"]: r["count"] for r in parts} == {None: 2, "a": 4} and splits.add_class_weight(rows).count() == 30
+
+
 def test_folds_are_even(samples):
     rows = splits.stratified_folds(samples, 3).groupBy("label", "fold").count().collect()
     for c in "abcd":
