@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seqlab import runtime
-from seqlab.catalog.registry import PAGES, joined, query, r6, sql_calls, sql_r6
+from seqlab.catalog.registry import DOCS, PAGES, joined, query, r6, sql_calls, sql_r6
 from seqlab.operators import explain, features, markov, metrics, splits, trees
 from seqlab.operators import vocabulary as v
 from seqlab.plans import preparation, scoring
@@ -31,7 +31,7 @@ def _engineered(spark, d):
 
 def _models(spark, d):
     train, test, vocab = _prepared(spark, d)
-    return scoring.train_models(train, test, vocab, 200, 300, src.LETTERS, **FOREST), test
+    return scoring.train_models(train, test, vocab, category=src.LETTERS, **FOREST), test
 
 
 @query("M1_forest_scores")
@@ -104,14 +104,24 @@ def m3(spark, d):
     return markov.length_sweep(train, test, metrics.class_table(spark, ["c0", "c1", "c2", "c3"]), size, [20, 40, 80])
 
 
-@query("S12_saved_models")
+# test rows of the stratified split, by class
+_TEST_ROWS = f"{DOCS}, sz AS (SELECT label, round(count(*) * 0.2) AS n FROM docs GROUP BY 1)"
+
+
+@query("S12_saved_models", f"WITH {_TEST_ROWS} SELECT cast(sum(n) AS bigint) AS n, 0::bigint AS n_differ FROM sz")
 def s12(spark, d):
     models, test = _models(spark, d)
     path = runtime.scratch_path(spark, "models")
     models.save(path)
     again = scoring.ModelSet.load(spark, path, src.LETTERS)
     rows = splits.index_labels(test, again.classes)
-    return scoring.score_models(rows, again).select("sample_id", "y", F.array_max("p_first").alias("first"), F.array_max("p_second").alias("second"))
+    live, saved = [
+        scoring.score_models(rows, m).select("sample_id", F.transform("p_first", r6).alias("a"), F.transform("p_second", r6).alias("b"))
+        for m in (models, again)
+    ]
+    same = F.struct("l.a", "l.b").eqNullSafe(F.struct("s.a", "s.b"))
+    both = live.alias("l").join(saved.alias("s"), "sample_id", "full")
+    return both.agg(F.count("*").alias("n"), F.count_if(~same).alias("n_differ"))
 
 
 @query("M10_score_texts")
@@ -181,11 +191,15 @@ def m10_stream(spark, d):
     return spark.read.parquet(out).select("sample_id", joined("padded").alias("padded"))
 
 
-@query("M10_scored_stream")
+@query("M10_scored_stream", r"SELECT count(*) AS n, 0::bigint AS n_differ FROM documents WHERE len(regexp_extract_all(text, '[^\s,]+')) >= 3")
 def m10_scored(spark, d):
     models, _ = _models(spark, d)
     path, out, state = [runtime.scratch_path(spark, n) for n in ("texts", "scored", "state")]
     texts = src.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("sample_id"), "text")
     texts.repartition(2).write.parquet(path)
     stream.score_stream(stream.stream_texts(spark, path), models, out, state).awaitTermination()
-    return spark.read.parquet(out).select("sample_id", "predicted", "confidence", "needs_review")
+    live = spark.read.parquet(out).select("sample_id", "predicted", "needs_review")
+    batch = scoring.score_texts(texts, models).select("sample_id", "predicted", "needs_review")
+    same = F.struct("s.predicted", "s.needs_review").eqNullSafe(F.struct("b.predicted", "b.needs_review"))
+    both = live.alias("s").join(batch.alias("b"), "sample_id", "full")
+    return both.agg(F.count("*").alias("n"), F.count_if(~same).alias("n_differ"))
