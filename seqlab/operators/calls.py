@@ -78,10 +78,8 @@ def consecutive_pairs(calls: DataFrame, block: int = BLOCK) -> DataFrame:
 def transition_shares(calls: DataFrame, block: int = BLOCK) -> DataFrame:
     """Per sample, the share of each token-to-token transition."""
     counts = consecutive_pairs(calls, block).groupBy("sample_id", "token", "next_token").agg(F.count("*").alias("n"))
-    totals = counts.groupBy("sample_id").agg(F.sum("n").alias("total"))
-    return counts.join(totals, "sample_id").select(
-        "sample_id", "token", "next_token", "n", (F.col("n") / F.col("total")).alias("share")
-    )
+    total = F.sum("n").over(Window.partitionBy("sample_id"))  # distinct transitions, not calls
+    return counts.select("sample_id", "token", "next_token", "n", (F.col("n") / total).alias("share"))
 
 
 def as_sequences(calls: DataFrame, max_calls: int) -> DataFrame:

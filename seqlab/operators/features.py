@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqlab import fixed_values as V
-from seqlab.functions.arrays import indices, let, ngrams, pairs, ratio, run_counts, total
+from seqlab.functions.arrays import indices, let, ngrams, pairs, ratio, run_counts, total, vector_cells
 from seqlab.functions.labels import CategoryOf, missing_table
 
 STATISTIC_NAMES = (
@@ -66,14 +66,13 @@ def ngram_shares(
     """(sample_id, ngram, col_idx, value): kept counts over all kept counts of
     the sample. Rows without kept n-grams are absent (all zero).
 
+    The exploded form of ``ngram_vectors``: counted in the row, nothing is shuffled.
     ``vocab`` is bounded by its ``max_features``, so it is broadcast.
     """
-    counts = samples.select(
-        "sample_id", F.inline(run_counts(row_ngrams(F.col("sequence"), ngram_range, min_len)))
-    ).withColumnRenamed("item", "ngram")
-    kept = counts.join(F.broadcast(vocab), "ngram")
-    share = F.col("n") / F.sum("n").over(Window.partitionBy("sample_id"))
-    return kept.select("sample_id", "ngram", "col_idx", share.alias("value"))
+    vectors = ngram_vectors(samples.select("sample_id", "sequence"), vocab, ngram_range, min_len, "_tf")
+    cells = vectors.select("sample_id", F.inline(vector_cells(F.col("_tf"))))
+    names = F.broadcast(vocab.select("ngram", F.col("col_idx").alias("i")))
+    return cells.join(names, "i").select("sample_id", "ngram", F.col("i").alias("col_idx"), F.col("x").alias("value"))
 
 
 def ngram_vectors(

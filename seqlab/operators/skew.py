@@ -37,11 +37,13 @@ def prefix_sums(
 
     ``bucket`` must not decrease along the order. Rows are shuffled by
     (key, bucket), so a hot key is spread over its buckets; the totals of
-    earlier buckets come from a pre-aggregated table.
+    earlier buckets come from a pre-aggregated table. The input is evaluated
+    once, into a checkpoint that both readings of it share.
     """
     staged = df.withColumn("_bucket", bucket)
     for name, value in values.items():
         staged = staged.withColumn(f"_v_{name}", value)
+    staged = runtime.pin(staged)
     per_bucket = staged.groupBy(*keys, "_bucket").agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in values])
     earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.select(
