@@ -55,7 +55,7 @@ def op10_piece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op7_topk_search"] = """
 WITH v AS (
   SELECT vec_id, [cast(floor(64 * cast(x AS double)) AS bigint) FOR x IN embedding] AS e FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, cast(list_dot_product(cast(q.e AS double[]), cast(c.e AS double[])) AS bigint) AS score
       FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
 r AS (SELECT *, cast(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS int) AS rank FROM s)
@@ -94,3 +94,27 @@ def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_gated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gated_lm.scored(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op1_warc_index"] = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+-- five hexadecimal digits are four characters of base 32
+c AS (SELECT page_id, unnest(range(8)) AS i, cast('0x' || substr(h, 5 * unnest(range(8)) + 1, 5) AS int) AS v FROM p),
+d AS (SELECT page_id, string_agg(list_reduce([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> s) & 31) + 1, 1) FOR s IN [15, 10, 5, 0]],
+  lambda a, b: a || b), '' ORDER BY i) AS digest FROM c GROUP BY page_id),
+g AS (SELECT h, max(page_id) AS last FROM p GROUP BY h)
+SELECT page_id, cast(n AS bigint) AS payload_bytes, digest AS payload_digest,
+  CASE WHEN last = page_id THEN 'response' ELSE 'revisit' END AS record_type, nullif(last, page_id) AS refers_to
+FROM p JOIN g USING (h) JOIN d USING (page_id)"""
+
+ORACLES["op3_embedding_tiles"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, cast(embedding AS double[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  AND list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.95),
+r AS (SELECT vec_id AS a, vec_id AS c FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.c),
+c AS (SELECT a, min(c) AS component_id FROM r GROUP BY a),
+k AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT c.a AS vec_id, coalesce(k.n, 0)::bigint AS n_links, component_id, c.a = component_id AS kept FROM c LEFT JOIN k ON k.a = c.a"""
