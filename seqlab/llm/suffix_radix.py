@@ -94,6 +94,7 @@ def _segment_anchors(data: bytes, starts: np.ndarray, length: int, k: int, base:
     hi = np.where(np.concatenate([same[1:], [False]]), np.concatenate([lo[1:] - 1, [0]]), last)
     hi = np.minimum(hi, last)
     keep = lo <= hi
+    own = own * _ODD[0]  # anchors are the smallest hashes: spread them over the buckets again, one to one
     return own[keep], at[keep] + base, doc[keep] + first, lo[keep] + base, hi[keep] + base
 
 
