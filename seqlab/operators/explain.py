@@ -57,10 +57,30 @@ def top_contributions(contribs: DataFrame, k: int = 15) -> DataFrame:
     return ranked.withColumn("display_name", short_feature_name(F.col("name")))
 
 
+def row_top_contributions(rows: DataFrame, coeffs: DataFrame, k: int = 15, predicted: str = "y_pred") -> DataFrame:
+    """``top_contributions`` of ``contributions``, sorted inside each row: nothing is shuffled.
+
+    ``coeffs`` (classes x columns rows) becomes one row of arrays per class, which is broadcast.
+    """
+    terms = F.sort_array(F.collect_list(F.struct("col_idx", "name", "weight", "mean")))
+    by_class = coeffs.groupBy("class_idx").agg(terms.alias("_terms"))
+    values = F.zip_with(vector_to_array("features"), "_terms", lambda x, t: F.struct(
+        (-F.abs(t["weight"] * (x - t["mean"]))).alias("o"), t["name"].alias("name"), x.alias("feature_value"), (t["weight"] * (x - t["mean"])).alias("value")
+    ))
+    best = F.slice(F.array_sort(values), 1, k)
+    found = rows.withColumn("class_idx", F.col(predicted)).join(F.broadcast(by_class), "class_idx").select(
+        "sample_id", "class_idx", F.posexplode(best).alias("_at", "_c")
+    )
+    return found.select(
+        "sample_id", "class_idx", F.col("_c.name").alias("name"), F.col("_c.feature_value").alias("feature_value"), F.col("_c.value").alias("value"),
+        (F.col("_at") + 1).alias("rank"), short_feature_name(F.col("_c.name")).alias("display_name"),
+    )
+
+
 def global_contributions(rows: DataFrame, coeffs: DataFrame) -> DataFrame:
     """(class_idx, name, mean_abs): mean absolute contribution over all rows."""
+    # |weight| leaves the mean: the rows are summed per column, and the classes come after
+    means = F.broadcast(coeffs.select("col_idx", "mean").distinct())
     long = rows.select(F.posexplode(vector_to_array("features")).alias("col_idx", "x"))
-    joined = long.join(F.broadcast(coeffs), "col_idx")
-    return joined.groupBy("class_idx", "name").agg(
-        F.avg(F.abs(F.col("weight") * (F.col("x") - F.col("mean")))).alias("mean_abs")
-    )
+    spread = long.join(means, "col_idx").groupBy("col_idx").agg(F.avg(F.abs(F.col("x") - F.col("mean"))).alias("spread"))
+    return coeffs.join(spread, "col_idx").select("class_idx", "name", (F.abs("weight") * F.col("spread")).alias("mean_abs"))

@@ -172,7 +172,13 @@ def test_search_and_boosting(samples):
     coeffs = explain.coefficients(linear, explain.feature_means(rows, 81), table)
     top = explain.top_contributions(explain.contributions(scored, coeffs))
     assert top.groupBy("sample_id").count().agg(F.max("count"), F.min("count")).first() == (15, 15)
-    assert explain.global_contributions(rows, coeffs).count() == 3 * 81
+    key = lambda r: (r["sample_id"], r["rank"], r["name"], r["class_idx"], r["display_name"], round(r["value"], 9), r["feature_value"])
+    inside = explain.row_top_contributions(scored, coeffs)
+    assert sorted(map(key, inside.collect())) == sorted(map(key, top.collect()))
+    every = explain.contributions(rows.crossJoin(F.broadcast(rows.sparkSession.range(3).select(F.col("id").cast("int").alias("y_pred")))), coeffs)
+    want = {(r["class_idx"], r["name"]): r["m"] for r in every.groupBy("class_idx", "name").agg(F.avg(F.abs("value")).alias("m")).collect()}
+    got = {(r["class_idx"], r["name"]): r["mean_abs"] for r in explain.global_contributions(rows, coeffs).collect()}
+    assert len(got) == 3 * 81 and got == pytest.approx(want)
 
 
 def test_short_trace_plan(spark, samples):
