@@ -9,60 +9,90 @@ import numpy as np
 
 END = 2
 CACHE_WORDS = 100_000
-CACHE_RUNS = 300_000
+CACHE_RUNS = 200_000
 # Words of these characters alone (no apostrophe) are cut by the tokenizer into runs of letters, single digits and
 # runs of other signs, each encoded on its own in lower case.
 _PLAIN = re.compile(r"[!-&(-~À-ÖØ-öø-ÿ]*")
 _RUNS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
 
-class Recent(dict):
+class Recent:
     """A cache of two generations: when one is full the older is dropped, and what is asked for again moves up."""
 
-    def __init__(self, most: int, make):
-        super().__init__()
-        self.most, self.make, self.older = most, make, {}
+    def __init__(self, most: int):
+        self.most, self.now, self.older = most, {}, {}
 
-    def __missing__(self, key):
-        got = self.older.get(key)
-        if got is None:
-            got = self.make(key)
-        if len(self) >= self.most:
-            self.older = dict(self)
-            self.clear()
-        self[key] = got
-        return got
+    def lacking(self, keys: set) -> list:
+        """Move known keys to the present generation; the others are left to ``add``."""
+        if len(self.now) >= self.most:
+            self.now, self.older = {}, self.now
+        lacking = []
+        for k in keys.difference(self.now):
+            got = self.older.get(k)
+            if got is None:
+                lacking.append(k)
+            else:
+                self.now[k] = got
+        return lacking
 
 
 class WordIds:
     """Ids of ``tokenizer.encode(text, add_special_tokens=False)`` from caches of words and of runs in words.
 
     White space separates words for good in this tokenizer (it is removed, and no rule joins what it
-    separates), so a text's ids are those of its words in order.
+    separates), so a text's ids are those of its words in order. Runs of plain words need none of its
+    normalising and splitting: new ones are encoded together, a space between them.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.words, self.runs = Recent(CACHE_WORDS, self._word), Recent(CACHE_RUNS, self._encoded)
-
-    def _encoded(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
-
-    def _word(self, word: bytes) -> bytes:
-        text = word.decode()
-        if "<|" in text or not _PLAIN.fullmatch(text):  # may hold an added token, or need the tokenizer's own rules
-            return self._encoded(text)
-        return b"".join(map(self.runs.__getitem__, _RUNS.findall(text.lower())))
+        self.words, self.runs = Recent(CACHE_WORDS), Recent(CACHE_RUNS)
+
+    def _learn_runs(self, runs: set[str]) -> None:
+        new, width = self.runs.lacking(runs), np.dtype(self.kind).itemsize
+        for at in range(0, len(new), 4096):
+            part = new[at: at + 4096]
+            got = self.plain.encode(" ".join(part), add_special_tokens=False)
+            cuts = (np.searchsorted(np.array(got.word_ids), np.arange(len(part) + 1)) * width).tolist()
+            data = np.array(got.ids, self.kind).tobytes()
+            for run, a, b in zip(part, cuts[:-1], cuts[1:]):
+                self.runs.now[run] = data[a:b]
+
+    def _learn(self, words: set[bytes]) -> None:
+        new, cut = self.words.lacking(words), {}
+        letters = [w for w in new if w.isalpha()]  # ASCII letters alone: one run
+        lower = [w.decode() for w in map(bytes.lower, letters)]
+        runs = set(lower)
+        for word in new:
+            if word.isalpha():
+                continue
+            text = word.decode()
+            if "<|" in text or not _PLAIN.fullmatch(text):  # may hold an added token, or need the tokenizer's own rules
+                self.words.now[word] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+            else:
+                cut[word] = own = _RUNS.findall(text.lower())
+                runs.update(own)
+        self._learn_runs(runs)
+        of = self.runs.now
+        self.words.now.update(zip(letters, map(of.__getitem__, lower)))
+        for word, own in cut.items():
+            self.words.now[word] = b"".join([of[r] for r in own])
 
     def packed(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, packed; null is an empty text."""
-        of = self.words.__getitem__
         # bytes are split at ASCII white space only
-        return [b"".join(map(of, (t or "").encode("utf-8", "replace").split())) for t in texts]
+        words = [(t or "").encode("utf-8", "replace").split() for t in texts]
+        self._learn(set().union(*words))
+        of = self.words.now.__getitem__
+        return [b"".join(map(of, w)) for w in words]
 
 
 _LOADED: dict[str, WordIds] = {}
