@@ -117,11 +117,11 @@ def queue_table(totals: DataFrame, size: int = SIZE, least: int = LEAST) -> tupl
 
 def pack(docs: DataFrame, vocabulary: str, size: int = SIZE, end: int = END) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), one row per piece of a document."""
-    return packed_pieces(docs, vocabulary, size, end).drop("ids")
+    return packed_pieces(docs, vocabulary, size, end, with_ids=False)
 
 
-def packed_pieces(docs: DataFrame, vocabulary: str, size: int = SIZE, end: int = END) -> DataFrame:
-    """``pack`` with the piece's token ids as an array."""
+def packed_pieces(docs: DataFrame, vocabulary: str, size: int = SIZE, end: int = END, with_ids: bool = True) -> DataFrame:
+    """``pack``, with the piece's token ids as an array too."""
     kept = stored(tokenized(docs, vocabulary, end), "token-ids")
     runs = kept.groupBy("source", "part").agg(F.sum("n").alias("run"))
     named, other, total = queue_table(kept.groupBy("source").agg(F.sum("n").alias("own")), size)
@@ -139,22 +139,27 @@ def packed_pieces(docs: DataFrame, vocabulary: str, size: int = SIZE, end: int =
         runs = F.broadcast(runs)
     width = {np.uint16: 2, np.uint32: 4}[loaded(vocabulary).kind]
 
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
+
+    def made(f: pd.DataFrame) -> pd.DataFrame:
+        docs, parts, crc, cuts = [], [], [], []
+        for doc, start, n, below, own, ids in zip(f["doc_id"].astype("Int64"), f["queue_start"] + f["start"], f["n"], f["below"], f["own"], f["ids"]):
+            ids = np.frombuffer(ids, f"<u{width}").astype("<u4")
+            a, k, w, off = pieces(int(start), int(n), int(below), int(own), total, size)
+            a = a - start
+            own_cuts = [ids[x: x + y] for x, y in zip(a.tolist(), k.tolist())]
+            docs += [doc] * len(a)
+            crc += [zlib.crc32(x) for x in own_cuts]
+            parts.append((a, k, np.full(len(a), n), w, off))
+            cuts += own_cuts if with_ids else []
+        a, k, n, w, off = (np.concatenate(x) for x in zip(*parts))
+        out = {"doc_id": pd.array(docs, "Int64"), "start": a, "length": k, "ids_crc32": crc, "doc_tokens": n, "sequence_id": w, "offset": off}
+        return pd.DataFrame(out | ({"ids": cuts} if with_ids else {}))[names]
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out = []
-            for r in zip(f["doc_id"].astype("Int64"), f["queue_start"] + f["start"], f["n"], f["below"], f["own"], f["ids"]):
-                doc, start, n, below, own, ids = r
-                ids = np.frombuffer(ids, f"<u{width}").astype("<u4")
-                a, k, w, off = pieces(int(start), int(n), int(below), int(own), total, size)
-                a = a - start
-                cut = [ids[x: x + y] for x, y in zip(a, k)]
-                out.append(pd.DataFrame({
-                    "doc_id": pd.array([doc] * len(a), "Int64"), "start": a, "length": k, "ids_crc32": [zlib.crc32(x.tobytes()) for x in cut], "doc_tokens": n,
-                    "sequence_id": w, "offset": off, "ids": cut,
-                }))
-            if out:
-                yield pd.concat(out)
-
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<long>"
-    return kept.join(runs, ["source", "part"]).select("doc_id", "start", "n", "queue_start", "below", "own", "ids").mapInPandas(run, schema)
+            for at in range(0, len(f), 512):
+                yield made(f.iloc[at: at + 512])
 
+    schema = ", ".join(f"{c} {'array<long>' if c == 'ids' else 'long'}" for c in names)
+    return kept.join(runs, ["source", "part"]).select("doc_id", "start", "n", "queue_start", "below", "own", "ids").mapInPandas(run, schema)

@@ -68,6 +68,9 @@ def test_small_and_empty(docs):
     assert op.pack(docs([]), op.public_vocabulary()).count() == 0
     texts = [None, "one", "", "x " * 9000]
     check(op.pack(docs(texts), op.public_vocabulary()).collect(), list(enumerate(texts)), 4096)
+    full = op.packed_pieces(docs(texts), op.public_vocabulary()).collect()
+    check(full, list(enumerate(texts)), 4096)
+    assert all(len(r["ids"]) == r["length"] and zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"] for r in full)
 
 
 def test_huge_totals_stay_exact():
