@@ -13,6 +13,7 @@ if no row of that fingerprint has one; an empty table gives no rows; other colum
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,11 +22,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqlab.llm.common import checkpointed, components, fetch_pairs, local_forest, packed_blocks, salted_join
+from seqlab.llm.common import (
+    block_pairs, checkpointed, components, fetch_pairs, local_forest, open_fs, packed_blocks, salted_join, stored,
+)
+from seqlab.runtime import scratch_path
 
 SHINGLE = 3
 RADIUS = 2
 TILE = 2048
+# of keep_one: words of a shingle, least Jaccard similarity, bits of 128 that two texts may differ by to be compared
+WIDE_SHINGLE = 5
+NEAR = 0.8
+WIDE_RADIUS = 32
+WIDE_TILE = 4096
 _BITS = np.array([[b >> i & 1 for i in range(8)] for b in range(256)], np.uint8)
 
 
@@ -144,7 +153,162 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     return salted_join(fps, checkpointed(named), "fp", "_n", F.col("doc_id")).select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its group, as they were; rows without a doc_id stay."""
-    found = near_duplicates(docs, **options).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL"))
+# ---- one row of each group of near copies, by word shingles ---------------------------
+
+
+def shingle_set(words: list[bytes], shingle: int) -> set[bytes]:
+    if len(words) <= shingle:
+        return {b" ".join(words)}
+    return {b" ".join(t) for t in zip(*(words[i:] for i in range(shingle)))}
+
+
+def similar(a: set[bytes], b: set[bytes]) -> bool:
+    """Whether the Jaccard similarity is NEAR at least."""
+    if NEAR * max(len(a), len(b)) > min(len(a), len(b)):
+        return False
+    both = len(a & b)
+    return both >= NEAR * (len(a) + len(b) - both)
+
+
+def wide_simhash(shingles: set[bytes]) -> tuple[int, int]:
+    """128-bit fingerprint of a set of shingles as two signed longs: bit i is set if it is in over half of their XXH128."""
+    h = np.frombuffer(b"".join(xxhash.xxh128_digest(x, 42) for x in shingles), np.uint8).reshape(-1, 16)
+    ones = np.zeros(128, np.int64)
+    for at in range(0, len(h), 1 << 16):
+        ones += np.unpackbits(h[at: at + (1 << 16)], axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return tuple(np.packbits(2 * ones > len(h), bitorder="little").view(np.int64).tolist())
+
+
+def _word_rows(folder: str, shingle: int):
+    """(row, doc_id, digest, fp, fp2, file, start, size): the words of each text lie in ``file`` from ``start`` on."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import zstandard
+
+        fs, base = open_fs(folder)
+        fs.create_dir(base, recursive=True)
+        name, at, zip_ = f"{uuid.uuid4().hex}.words", 0, zstandard.ZstdCompressor(level=1)
+        with fs.open_output_stream(f"{base}/{name}", compression=None) as out:
+            for f in frames:
+                rows = []
+                for t in f["text"]:
+                    words = (t or "").encode("utf-8", "replace").lower().split()  # as simhash
+                    joined = b" ".join(words)
+                    data = zip_.compress(joined)
+                    out.write(data)
+                    rows.append((xxhash.xxh128_digest(joined, 7), *wide_simhash(shingle_set(words, shingle)), name, at, len(data)))
+                    at += len(data)
+                made = pd.DataFrame(rows, columns=["digest", "fp", "fp2", "file", "start", "size"])
+                made.insert(0, "row", f["_row"].to_numpy())
+                made.insert(1, "doc_id", f["doc_id"].astype("Int64").array)
+                yield made
+
+    return run
+
+
+class Words:
+    """Shingle sets of texts by their place (file, start, size) in the shared folder."""
+
+    def __init__(self, folder: str, shingle: int):
+        self.fs, self.base = open_fs(folder)
+        self.shingle, self.open, self.sets = shingle, {}, {}
+
+    def __getitem__(self, place: tuple[str, int, int]) -> set[bytes]:
+        import zstandard
+
+        if place not in self.sets:
+            file, start, size = place
+            if file not in self.open:
+                if len(self.open) >= 64:
+                    self.open.pop(next(iter(self.open))).close()
+                self.open[file] = self.fs.open_input_file(f"{self.base}/{file}")
+            data = self.open[file].read_at(size, start)
+            if len(self.sets) >= 4 * WIDE_TILE:
+                self.sets.clear()
+            self.sets[place] = shingle_set(zstandard.ZstdDecompressor().decompress(data).split(), self.shingle)
+        return self.sets[place]
+
+
+def confirmed_links(a: np.ndarray, b: np.ndarray, radius: int, same: bool, alike) -> list[tuple[int, int]]:
+    """Spanning links (row of a, row of b) of the pairs within ``radius`` bits for which ``alike(row, row)`` holds.
+
+    a and b are (rows, 2) halves of fingerprints. A pair is left out only where other links join its rows already.
+    """
+    label = np.arange(len(a) + (0 if same else len(b)))
+    shift, links, step = 0 if same else len(a), [], 64
+    for i in range(0, len(a), step):
+        first = i if same else 0
+        far = np.bitwise_count(a[i: i + step, None, 0] ^ b[None, first:, 0]) + np.bitwise_count(a[i: i + step, None, 1] ^ b[None, first:, 1])
+        x, y = np.nonzero(far <= radius)
+        x, y = x + i, y + first
+        while len(x):
+            open_ = (label[x] != label[y + shift])
+            x, y = x[open_], y[open_]
+            _, one = np.unique(y, return_index=True)  # a try for each row of b; the next only where it isn't joined
+            for k in one.tolist():
+                u, v = int(x[k]), int(y[k])
+                p, q = label[u], label[v + shift]
+                if p != q and alike(u, v):
+                    label[label == q] = p
+                    links.append((u, v))
+            x, y = np.delete(x, one), np.delete(y, one)
+    return links
+
+
+def _pack_wide(block: int, f: pd.DataFrame) -> pd.DataFrame:
+    fp = np.ascontiguousarray(f[["fp", "fp2"]].to_numpy(np.int64))
+    files = sorted(set(f["file"]))
+    at = {x: i for i, x in enumerate(files)}
+    place = np.stack([f["file"].map(at).to_numpy(np.int64), f["start"].to_numpy(np.int64), f["size"].to_numpy(np.int64)], 1)
+    return pd.DataFrame({
+        "block": [block], "data": [fp.tobytes()], "data_id": [f["id"].to_numpy(np.int64).tobytes()],
+        "data_place": [np.ascontiguousarray(place).tobytes()], "data_files": ["\n".join(files)],
+    })
+
+
+def similar_links(classes: DataFrame, folder: str, radius: int, shingle: int, tile: int) -> DataFrame:
+    """Spanning links (u, v) between ids of texts within ``radius`` bits whose shingle sets are ``similar``."""
+    schema = "block long, data binary, data_id binary, data_place binary, data_files string"
+    tiles = packed_blocks(classes, [F.col("fp"), F.col("fp2"), F.col("id")], tile, "wide-tiles", schema, _pack_wide)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = Words(folder, shingle)
+        for f in frames:
+            us, vs = [], []
+            for r in f.to_dict("records"):
+                fps = [np.frombuffer(r[f"{s}_data"], np.uint64).reshape(-1, 2) for s in "ab"]
+                ids = [np.frombuffer(r[f"{s}_data_id"], np.int64) for s in "ab"]
+                files = [r[f"{s}_data_files"].split("\n") for s in "ab"]
+                places = [np.frombuffer(r[f"{s}_data_place"], np.int64).reshape(-1, 3) for s in "ab"]
+
+                def text(side: int, row: int) -> set[bytes]:
+                    file, start, size = places[side][row].tolist()
+                    return words[files[side][file], start, size]
+
+                for u, v in confirmed_links(*fps, radius, r["a"] == r["b"], lambda u, v: similar(text(0, u), text(1, v))):
+                    us.append(ids[0][u])
+                    vs.append(ids[1][v])
+            yield pd.DataFrame({"u": np.array(us, np.int64), "v": np.array(vs, np.int64)})
+
+    return block_pairs(tiles, ["data", "data_id", "data_place", "data_files"]).mapInPandas(run, "u long, v long")
+
+
+def keep_one(docs: DataFrame, shingle: int = WIDE_SHINGLE, radius: int = WIDE_RADIUS, tile: int = WIDE_TILE) -> DataFrame:
+    """One row of ``docs`` of each group of near copies, as it was.
+
+    Texts whose sets of word shingles have a Jaccard similarity of NEAR or more are linked; candidates are the pairs
+    within ``radius`` of 128 bits, and links join groups. The row with the smallest doc_id stays, of rows with
+    equal ids the first one; a row without a doc_id stays where no row of its group has one.
+    """
+    spark = docs.sparkSession
+    folder = scratch_path(spark, "words")
+    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    schema = "row long, doc_id long, digest binary, fp long, fp2 long, file string, start long, size long"
+    made = checkpointed(rows.select("_row", "doc_id", "text").mapInPandas(_word_rows(folder, shingle), schema))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
+    place = F.min_by(F.struct("fp", "fp2", "file", "start", "size"), "row")
+    classes = checkpointed(made.groupBy("digest").agg(F.min("row").alias("id"), best.alias("best"), place.alias("p")).select("id", "best", "p.*"))
+    found = components(similar_links(classes.select("id", "fp", "fp2", "file", "start", "size"), folder, radius, shingle, tile))
+    group = F.coalesce("component", "id")
+    kept = classes.join(found, classes["id"] == found["node"], "left").groupBy(group.alias("group")).agg(F.min("best").alias("best"))
+    return rows.join(kept.select(F.col("best.row").alias("_row")), "_row", "left_semi").select(*docs.columns)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from seqlab.llm import mixture_packing, pii_surrogates, quality_network
+from seqlab.llm import mixture_packing, pii_surrogates, quality_network, simhash_tiles
 from test_mixture_packing import check
 from test_simhash_tiles import brute as brute_links
 from test_suffix_radix import brute as brute_repeats
@@ -73,3 +73,17 @@ def test_every_stage_against_a_plain_version(spark, sf, tmp_path):
             assert after.keys() == before.keys() and sum("@m" in x["text"] for x in after.values()) > 5
         before = after
     assert corpus_pipeline.run(spark, sf).select(F.sum("length").alias("n")).first()["n"] == docs.select(F.sum("length").alias("n")).first()["n"]
+
+
+def test_near_duplicates_by_five_words_and_similarity(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    before = rows_of(docs)
+    sets = {i: simhash_tiles.shingle_set((x["text"] or "").encode().lower().split(), 5) for i, x in before.items()}
+    group = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and group[a] != group[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                low, high = sorted((group[a], group[b]))
+                group = {i: low if g == high else g for i, g in group.items()}
+    assert rows_of(corpus_pipeline.near_duplicates(spark, docs, sf)) == {i: before[i] for i, g in group.items() if g == i}
+    assert group[14] == 13  # one word more than its neighbour

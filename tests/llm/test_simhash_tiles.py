@@ -54,3 +54,36 @@ def test_components_of_a_long_chain(spark):
     hub = spark.range(1000, 3000).select(F.lit(5000).cast("long").alias("u"), F.col("id").alias("v"))
     got = {r["node"]: r["component"] for r in components(edges.union(hub)).collect()}
     assert all(got[i] == 0 for i in range(1, 301)) and all(got[i] == 1000 for i in [*range(1001, 3000), 5000])
+
+
+def replaced_words(r, words, share):
+    out = list(words)
+    for at in r.sample(range(len(out)), max(1, round(share * len(out)))):
+        out[at] = f"new{r.randrange(10**6)}"
+    return out
+
+
+def test_keep_one_takes_near_copies_and_leaves_clean_texts(docs):
+    r = random.Random(5)
+    base = [[f"w{r.randrange(5000)}" for _ in range(r.randrange(100, 400))] for _ in range(120)]
+    near = [replaced_words(r, w, 0.01) for w in base[:60]]
+    far = [replaced_words(r, w, 0.15) for w in base[60:]]
+    sets = [op.shingle_set([x.encode() for x in w], 5) for w in base + near + far]
+    jaccard = lambda i: len(sets[i] & sets[i + 120]) / len(sets[i] | sets[i + 120])
+    got = {x["doc_id"] for x in op.keep_one(docs([" ".join(w) for w in base + near + far]), tile=50).collect()}
+    assert got == {*range(120)} | {i + 120 for i in range(120) if jaccard(i) < 0.8}
+    assert sum(jaccard(i) >= 0.8 for i in range(60)) > 50
+
+
+def test_recall_of_the_radius_at_the_least_similarity():
+    r = random.Random(8)
+    missed = tried = 0
+    for _ in range(1500):
+        words = [f"w{r.randrange(10**5)}".encode() for _ in range(r.randrange(100, 600))]
+        other = [x.encode() if isinstance(x, str) else x for x in replaced_words(r, words, 0.023)]
+        a, b = op.shingle_set(words, 5), op.shingle_set(other, 5)
+        if 0.8 <= len(a & b) / len(a | b) < 0.83:
+            x, y = (np.array(op.wide_simhash(s), np.int64).view(np.uint64) for s in (a, b))
+            tried += 1
+            missed += int(np.bitwise_count(x ^ y).sum()) > op.WIDE_RADIUS
+    assert tried > 200 and missed <= 0.01 * tried, (missed, tried)
