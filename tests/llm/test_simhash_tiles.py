@@ -87,3 +87,11 @@ def test_recall_of_the_radius_at_the_least_similarity():
             tried += 1
             missed += int(np.bitwise_count(x ^ y).sum()) > op.WIDE_RADIUS
     assert tried > 200 and missed <= 0.01 * tried, (missed, tried)
+
+
+def test_keep_one_on_repeated_and_missing_ids(docs):
+    a, b, c = "one two three four five six", "seven eight nine ten", "eleven twelve"
+    kept = op.keep_one(docs([(4, a), (4, a), (None, a), (4, b), (None, c), (None, c)])).collect()
+    assert sorted((r["doc_id"] or -1, r["text"]) for r in kept) == sorted([(4, a), (4, b), (-1, c)])
+    twins = op.keep_one(docs([(4, a), (4, a), (4, a)])).collect()
+    assert [r["doc_id"] for r in twins] == [4]
