@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqlab.llm import (
-    embedding_tiles, gated_lm, mixture_packing, pii_surrogates, piece_viterbi, quality_network, simhash_tiles, suffix_radix,
-    topk_search, warc_index,
+    embedding_tiles, gated_lm, merkle_manifest, mixture_packing, pii_surrogates, piece_viterbi, quality_network, simhash_tiles,
+    suffix_radix, topk_search, warc_index,
 )
+from seqlab.llm.checksum_sql import manifest_sql
 from seqlab.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +119,11 @@ r AS (SELECT vec_id AS a, vec_id AS c FROM embeddings UNION SELECT r.a, l.b FROM
 c AS (SELECT a, min(c) AS component_id FROM r GROUP BY a),
 k AS (SELECT a, count(*) AS n FROM l GROUP BY a)
 SELECT c.a AS vec_id, coalesce(k.n, 0)::bigint AS n_links, component_id, c.a = component_id AS kept FROM c LEFT JOIN k ON k.a = c.a"""
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.manifest(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_merkle_manifest"] = manifest_sql()
