@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqlab.llm import (
-    embedding_tiles, gated_lm, merkle_manifest, mixture_packing, pii_surrogates, piece_viterbi, quality_network, simhash_tiles,
-    suffix_radix, topk_search, warc_index,
+    embedding_tiles, gated_lm, language_id, merkle_manifest, mixture_packing, pii_surrogates, piece_viterbi, quality_network,
+    simhash_tiles, suffix_radix, topk_search, warc_index,
 )
 from seqlab.llm.checksum_sql import manifest_sql
 from seqlab.llm.common import table
@@ -127,3 +127,10 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op13_merkle_manifest"] = manifest_sql()
+
+
+@query
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = quality_network.fold("doc_id") % 5
+    found = language_id.identified(table(spark, sf_dir, "documents"), fold != 0)
+    return found.select("doc_id", (fold == 0).alias("held_out"), "lang_pred", "score", "accepted")
