@@ -62,3 +62,55 @@ s0 AS (SELECT r.doc_id, r.leaf, r.changed AS own, '' AS proof, r.tree, r.idx, s.
 {climb_sql('u', 'a', 'b', 'all_', 'top', upper)}
 SELECT doc_id, leaf, subroot, r.d AS root, sha256(proof) AS proof_sha256, own AS folded_root, own = r.d AS verified
 FROM b CROSS JOIN (SELECT d FROM u{upper}) r"""
+
+
+def repair_sql() -> str:
+    """op12's rows: a forward search over rows and states that keeps the least (cost, audit) with its repaired text."""
+    visible = r"'[^\x20\x09-\x0D]'"
+    last = r"regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1)"
+    # edits of a row: (from, to, needed initial or '' for any)
+    keeps = "(0,1,'s'),(0,2,'u'),(1,2,'u'),(3,2,'u'),(2,3,'a')"
+    turns = "(0,2,'user'),(1,2,'user'),(3,2,'user'),(2,3,'assistant')"
+    glue = "CASE WHEN v.r IS NULL THEN {0} ELSE v.r || chr(10) || {0} END"
+    # one step: none, one or two inserts, then the row's own edit; the last step (n + 1) has inserts only
+    ins = lambda src: (
+        f"SELECT v.conv, v.pos, t.b AS s, v.c + 5 AS c, v.a || 'I' AS a, {glue.format(chr(39) + chr(39) + ' || t.name || ' + chr(39) + ':' + chr(39))} AS r "
+        f"FROM {src} v JOIN turns t ON t.a = v.s")
+    return f"""
+WITH RECURSIVE src AS (SELECT conv_id AS conv, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  {crc32_sql("coalesce(cast(conv_id AS varchar), ' ') || ':' || coalesce(cast(turn AS varchar), ' ')")} % 20 AS kind FROM conversations),
+dam AS (SELECT conv, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+  CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM (SELECT *, unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy FROM src WHERE kind <> 0)),
+rws AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text) AS pos FROM dam),
+flt AS (SELECT *, NOT regexp_matches(text, {visible}) AS blank, row_number() OVER (PARTITION BY conv, role, text ORDER BY pos) > 1 AS again,
+  {last} NOT IN ('.', '!', '?') AS cut, lag(role[1:1]) OVER (PARTITION BY conv ORDER BY pos) || role[1:1] AS pair FROM rws),
+row_ AS (SELECT conv, pos, role, text, blank OR again AS gone, CASE WHEN cut THEN 5 ELSE 0 END AS more FROM flt),
+keeps(a, b, initial) AS (VALUES {keeps}), turns(a, b, name) AS (VALUES {turns}),
+dp AS (
+  SELECT DISTINCT conv, cast(0 AS bigint) AS pos, 0 AS s, 0 AS c, '' AS a, cast(NULL AS varchar) AS r FROM rws
+  UNION ALL
+  SELECT conv, pos + 1, s, best.c, best.a, best.r FROM (
+    SELECT conv, pos, s, min(struct_pack(c := c, a := a, r := r)) AS best FROM (
+      WITH v0 AS (SELECT * FROM dp), v1 AS ({ins("v0")}), v2 AS ({ins("v1")}),
+      v AS (SELECT * FROM v0 UNION ALL SELECT * FROM v1 UNION ALL SELECT * FROM v2)
+      SELECT v.conv, v.pos, v.s, v.c + 2 AS c, v.a || 'D' AS a, v.r FROM v JOIN row_ w ON w.conv IS NOT DISTINCT FROM v.conv AND w.pos = v.pos + 1
+      UNION ALL
+      SELECT v.conv, v.pos, k.b, v.c + w.more, v.a || 'K', {glue.format("w.role || ':' || w.text")} FROM v
+        JOIN row_ w ON w.conv IS NOT DISTINCT FROM v.conv AND w.pos = v.pos + 1 AND NOT w.gone JOIN keeps k ON k.a = v.s AND k.initial = w.role[1:1]
+      UNION ALL
+      SELECT v.conv, v.pos, t.b, v.c + 1 + w.more, v.a || 'R', {glue.format("t.name || ':' || w.text")} FROM v
+        JOIN row_ w ON w.conv IS NOT DISTINCT FROM v.conv AND w.pos = v.pos + 1 AND NOT w.gone JOIN turns t ON t.a = v.s)
+    GROUP BY conv, pos, s)),
+fin AS (SELECT dp.* FROM dp JOIN (SELECT conv, max(pos) AS n FROM rws GROUP BY conv) m ON m.conv IS NOT DISTINCT FROM dp.conv AND m.n = dp.pos),
+f1 AS ({ins("fin")}), f2 AS ({ins("f1")}),
+done AS (SELECT conv, min(struct_pack(c := c, a := a, r := r)) AS best FROM
+  (SELECT * FROM fin UNION ALL SELECT * FROM f1 UNION ALL SELECT * FROM f2) WHERE s IN (0, 3) GROUP BY conv),
+cnt AS (SELECT conv, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate,
+  count(*) FILTER (cut AND NOT blank AND NOT again) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal,
+  coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps FROM flt GROUP BY conv)
+SELECT i.conv_id, coalesce(gaps, 0)::bigint AS gaps, coalesce(blank, 0)::bigint AS blank, coalesce(duplicate, 0)::bigint AS duplicate,
+  coalesce(truncated, 0)::bigint AS truncated, coalesce(illegal, 0)::bigint AS illegal, coalesce(d.best.c, 0)::bigint AS cost,
+  coalesce(d.best.a, '') AS audit, sha256(coalesce(d.best.r, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN done d ON d.conv IS NOT DISTINCT FROM i.conv_id
+LEFT JOIN cnt ON cnt.conv IS NOT DISTINCT FROM i.conv_id"""

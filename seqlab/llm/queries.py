@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from seqlab.llm import (
     embedding_tiles, gated_lm, language_id, merkle_manifest, mixture_packing, pii_surrogates, piece_viterbi, quality_network,
-    simhash_tiles, suffix_radix, topk_search, warc_index,
+    simhash_tiles, suffix_radix, topk_search, turn_repair, warc_index,
 )
-from seqlab.llm.checksum_sql import manifest_sql
+from seqlab.llm.checksum_sql import manifest_sql, repair_sql
 from seqlab.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +134,11 @@ def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = quality_network.fold("doc_id") % 5
     found = language_id.identified(table(spark, sf_dir, "documents"), fold != 0)
     return found.select("doc_id", (fold == 0).alias("held_out"), "lang_pred", "score", "accepted")
+
+
+@query
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repaired(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op12_turn_repair"] = repair_sql()
