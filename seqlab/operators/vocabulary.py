@@ -6,17 +6,17 @@ from collections.abc import Callable
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from seqlab import fixed_values as V
 from seqlab import runtime
 from seqlab.functions.arrays import ratio
 from seqlab.functions.encoding import spelling_candidates
+from seqlab.operators import dictionaries
 from seqlab.operators.skew import lookup_join, rank_rows
 
-MAX_LITERAL_VOCAB = 1_000_000
-
 
 def reserved_rows(like: DataFrame) -> DataFrame:
     spark = like.sparkSession
@@ -45,74 +45,69 @@ def build_frequency_vocabulary(samples: DataFrame, order: str = "sample_id") ->
     return reserved_rows(samples).unionByName(ranked)
 
 
-def _size() -> Column:
-    """Row lengths for the Arrow functions. Naming the sequence a second time
-    also keeps the step that computes it a projection of its own."""
-    return F.coalesce(F.size("sequence"), F.lit(0))
+def _tokens(column: str) -> dictionaries.KeysOf:
+    return lambda batch: dictionaries.flat(batch.column(column), pa.string())[1]
 
 
-def _encode_with_table(samples: DataFrame, entries: DataFrame, output: str) -> DataFrame:
-    """Encode row by row against a size-checked table shipped once per executor."""
-    rows = entries.select("token", "idx").toPandas()
-    table = samples.sparkSession.sparkContext.broadcast((rows["token"].tolist(), rows["idx"].tolist()))
-    unknown = V.UNK_INDEX
+def _rewriter(values: dict[str, str], sequence: str = "sequence"):
+    """Replace the tokens of ``sequence``: one list column per value column (name: "idx" or "resolved")."""
 
-    @F.arrow_udf("array<int>")
-    def encode(sequences: pa.Array, sizes: pa.Array) -> pa.Array:
-        tokens, ids = table.value
-        lists = sequences.cast(pa.list_(pa.string()))
-        at = pc.index_in(lists.flatten(), value_set=pa.array(tokens, pa.string()))
-        codes = pc.fill_null(pc.take(pa.array(ids, pa.int32()), at), unknown)
-        offsets = pa.concat_arrays([pa.array([0], pa.int64()), pc.cumulative_sum(sizes.cast(pa.int64()))]).cast(pa.int32())
-        return pa.ListArray.from_arrays(offsets, codes, mask=lists.is_null() if lists.null_count else None)
+    def apply(batch: pa.RecordBatch, known: pa.Table) -> list[pa.Array]:
+        lists = batch.column(sequence)
+        offsets, tokens = dictionaries.flat(lists, pa.string())
+        at = pc.index_in(tokens, value_set=known.column("key"))
+        out = []
+        for kind in values.values():
+            new = pc.take(known.column(kind), at)
+            new = new.combine_chunks() if isinstance(new, pa.ChunkedArray) else new
+            new = pc.fill_null(new, V.UNK_INDEX) if kind == "idx" else pc.coalesce(new.cast(pa.string()), tokens)
+            out.append(dictionaries.replaced(lists, offsets, new))
+        return out
 
-    # filters on the result must stay above the function, next to its inputs
-    return samples.withColumn(output, encode.asNondeterministic()(F.col("sequence"), _size()))
+    return apply
 
 
-def _by_calls(samples: DataFrame, entries: DataFrame, value: Column, output: str) -> DataFrame:
-    """Replace tokens by joining calls to a table too large to ship.
+def _looked_up(staged: dictionaries.Staged, found: DataFrame, values: dict[str, str]) -> DataFrame:
+    """``values``: output column to value column of ``found`` (part, key, ..)."""
+    kinds = {"idx": IntegerType(), "resolved": StringType()}
+    added = StructType([StructField(name, ArrayType(kinds[kind])) for name, kind in values.items()])
+    return dictionaries.looked_up(staged, found.select("part", "key", *values.values()), _rewriter(values), added)
 
-    Rows are told apart by a number of their own, fixed by a checkpoint, so equal
-    ids keep their own sequences; a null sequence stays null and an empty one empty.
-    """
-    rows = runtime.pin(samples.withColumn("_row", F.monotonically_increasing_id()))
-    calls = rows.select("_row", F.posexplode("sequence").alias("pos", "token"))
-    found = lookup_join(calls, entries, ["token"], max_broadcast_rows=0).withColumn("_value", value)
-    lists = found.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("pos", "_value"))).alias("_c"))
-    kind = dict(found.dtypes)["_value"]
-    empty = F.when(F.col("sequence").isNotNull(), F.array().cast(f"array<{kind}>"))
-    joined = rows.join(lists, "_row", "left").withColumn("_new", F.coalesce(F.col("_c._value"), empty))
-    return joined.withColumn(output, F.col("_new")).drop("_row", "_c", "_new")
 
+def encode_sequences(samples: DataFrame, vocab: DataFrame, output: str = "encoded") -> DataFrame:
+    """Token arrays to index arrays; unknown tokens become 1, a null array stays null.
 
-def _encode_with_join(samples: DataFrame, entries: DataFrame, output: str) -> DataFrame:
-    return _by_calls(samples, entries, F.coalesce("idx", F.lit(V.UNK_INDEX)), output)
+    Rows stay where they are: each partition's distinct tokens are joined with the vocabulary, whatever its size,
+    and come back as the partition's dictionary.
+    """
+    staged = dictionaries.stage(samples)
+    keys = dictionaries.distinct_keys(staged, ["sequence"], _tokens("sequence"), "string")
+    found = keys.join(vocab.select(F.col("token").alias("key"), "idx"), "key")
+    return _looked_up(staged, found, {output: "idx"})
 
 
-def encode_sequences(
-    samples: DataFrame, vocab: DataFrame, output: str = "encoded", max_entries: int = MAX_LITERAL_VOCAB,
-) -> DataFrame:
-    """Token arrays to index arrays; unknown tokens become 1.
+def row_encoder(vocab: DataFrame, shard_bytes: int = dictionaries.SHARD_BYTES) -> Callable[[DataFrame, str], DataFrame]:
+    """(rows, output column) -> encoded rows, for streams and tables alike, at any size of the vocabulary.
 
-    The vocabulary is counted first. Up to ``max_entries`` it travels to the
-    rows and nothing is shuffled; beyond that the calls travel to it.
+    The vocabulary is written once in shards by the token's checksum; a task reads the shards its tokens fall in.
     """
-    if runtime.fits(vocab, max_entries):
-        return _encode_with_table(samples, vocab, output)
-    return _encode_with_join(samples, vocab, output)
+    shards = dictionaries.Shards.write(vocab.select(F.col("token").alias("key"), F.col("idx").alias("value")), shard_bytes)
 
+    def encode(samples: DataFrame, output: str) -> DataFrame:
+        readers = []
 
-def row_encoder(vocab: DataFrame, max_entries: int = MAX_LITERAL_VOCAB) -> Callable[[DataFrame, str], DataFrame]:
-    """(rows, output column) -> encoded rows, for streams and tables alike; the vocabulary is read once.
+        @F.arrow_udf("array<int>")
+        def coded(sequences: pa.Array, sizes: pa.Array) -> pa.Array:
+            if not readers:
+                readers.append(shards.reader())
+            offsets, tokens = dictionaries.flat(sequences, pa.string())
+            return dictionaries.replaced(sequences, offsets, pc.fill_null(readers[0](tokens), V.UNK_INDEX))
 
-    Up to ``max_entries`` tokens are shipped; a larger vocabulary is an error on
-    a stream, whose batches then go through ``encode_sequences``.
-    """
-    if not runtime.fits(vocab, max_entries):
-        raise ValueError(f"vocabulary has more than {max_entries} tokens; use encode_sequences on each batch")
-    kept = runtime.pin(vocab)
-    return lambda samples, output: _encode_with_table(samples, kept, output)
+        # naming the sequence a second time keeps the step that computes it a projection of its own, and filters
+        # on the result must stay above the function, next to its inputs
+        return samples.withColumn(output, coded.asNondeterministic()(F.col("sequence"), F.coalesce(F.size("sequence"), F.lit(0))))
+
+    return encode
 
 
 def unknown_ratio(samples: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -141,9 +136,8 @@ def resolve_spellings(tokens: DataFrame, vocab: DataFrame, aliases: dict[str, st
     return best.select("token", F.coalesce(F.col("best.candidate"), F.col("token")).alias("resolved"))
 
 
-def spelling_table(samples: DataFrame, vocab: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
-    """(token, resolved, idx) for every token of ``samples``."""
-    tokens = samples.select(F.explode(F.array_distinct("sequence")).alias("token"))
+def spellings_of(tokens: DataFrame, vocab: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
+    """(token, resolved, idx) for the distinct tokens."""
     resolved = resolve_spellings(tokens, vocab, aliases)
     entries = vocab.select(F.col("token").alias("resolved"), "idx")
     return lookup_join(resolved, entries, ["resolved"]).withColumn(
@@ -151,35 +145,37 @@ def spelling_table(samples: DataFrame, vocab: DataFrame, aliases: dict[str, str]
     )
 
 
-def rewrite_sequences(samples: DataFrame, table: DataFrame, max_entries: int = MAX_LITERAL_VOCAB) -> DataFrame:
-    """Replace every token by its resolved spelling.
+def spelling_table(samples: DataFrame, vocab: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
+    """(token, resolved, idx) for every token of ``samples``."""
+    return spellings_of(samples.select(F.explode(F.array_distinct("sequence")).alias("token")), vocab, aliases)
 
-    Only changed spellings are shipped, up to ``max_entries``; beyond that the
-    calls travel to them, with the same result.
-    """
-    changed = runtime.pin(table.where("token <> resolved").select("token", "resolved"))
-    if runtime.fits(changed, max_entries):
-        rows = changed.toPandas()
-        shipped = samples.sparkSession.sparkContext.broadcast((rows["token"].tolist(), rows["resolved"].tolist()))
 
-        @F.arrow_udf("array<string>")
-        def rewrite(sequences: pa.Array, sizes: pa.Array) -> pa.Array:
-            old, new = shipped.value
-            lists = sequences.cast(pa.list_(pa.string()))
-            flat = lists.flatten()
-            at = pc.index_in(flat, value_set=pa.array(old, pa.string()))
-            fixed = pc.coalesce(pc.take(pa.array(new, pa.string()), at), flat)
-            offsets = pa.concat_arrays([pa.array([0], pa.int64()), pc.cumulative_sum(sizes.cast(pa.int64()))]).cast(pa.int32())
-            return pa.ListArray.from_arrays(offsets, fixed, mask=lists.is_null() if lists.null_count else None)
+def rewrite_sequences(samples: DataFrame, table: DataFrame) -> DataFrame:
+    """Replace every token by its resolved spelling in ``table`` (token, resolved); others stay as they are."""
+    staged = dictionaries.stage(samples)
+    keys = dictionaries.distinct_keys(staged, ["sequence"], _tokens("sequence"), "string")
+    changed = table.where("token <> resolved").select(F.col("token").alias("key"), "resolved")
+    return _looked_up(staged, keys.join(changed, "key"), {"sequence": "resolved"})
 
-        return samples.withColumn("sequence", rewrite.asNondeterministic()(F.col("sequence"), _size()))
-    return _by_calls(samples, changed, F.coalesce("resolved", "token"), "sequence")
+
+def _spelled(samples: DataFrame, vocab: DataFrame, aliases: dict[str, str] | None) -> tuple[dictionaries.Staged, DataFrame]:
+    """Staged rows and (part, key, resolved, idx) of their distinct tokens."""
+    staged = dictionaries.stage(samples)
+    keys = runtime.pin(dictionaries.distinct_keys(staged, ["sequence"], _tokens("sequence"), "string"))
+    table = spellings_of(keys.select(F.col("key").alias("token")), vocab, aliases)
+    return staged, keys.join(table.withColumnRenamed("token", "key"), "key")
 
 
 def normalise_sequences(samples: DataFrame, vocab: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
     """Rewrite spellings so that more tokens hit the vocabulary. Runs are not
     collapsed again."""
-    return rewrite_sequences(samples, spelling_table(samples, vocab, aliases))
+    staged, found = _spelled(samples, vocab, aliases)
+    return _looked_up(staged, found.where("key <> resolved"), {"sequence": "resolved"})
+
+
+def normalise_and_encode(samples: DataFrame, vocab: DataFrame, output: str = "encoded", aliases: dict[str, str] | None = None) -> DataFrame:
+    """Rewritten sequences and their indices from one dictionary per partition."""
+    return _looked_up(*_spelled(samples, vocab, aliases), {"sequence": "resolved", output: "idx"})
 
 
 def vocabulary_size(samples: DataFrame) -> DataFrame:

@@ -61,6 +61,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/seqlab-scratch/{name}-{uuid.uuid4().hex}"
 
 
+def open_fs(uri: str):
+    """A pyarrow file system and the path in it, for any shared store pyarrow knows; Hadoop's names of S3 are S3."""
+    from pyarrow import fs
+
+    scheme, _, rest = uri.partition("://")
+    return fs.FileSystem.from_uri(f"s3://{rest}" if scheme in ("s3a", "s3n") else uri)
+
+
 def fits(df: DataFrame, rows: int) -> bool:
     """True when ``df`` has at most ``rows`` rows (a distributed count)."""
     return df.count() <= rows

@@ -43,26 +43,43 @@ def test_encode_all_ways(spark, seqs):
     expected = {"0": [2, 3, 2], "1": [2, 1], "2": [], "3": [0]}
     for out in (
         v.encode_sequences(samples, table(spark, VOCAB)),
-        v.encode_sequences(samples, table(spark, VOCAB), max_entries=0),
+        v.row_encoder(table(spark, VOCAB))(samples, "encoded"),
+        v.row_encoder(table(spark, VOCAB), shard_bytes=30)(samples, "encoded"),
         samples.withColumn("encoded", encode_literal(F.col("sequence"), VOCAB)),
     ):
         assert {r["sample_id"]: list(r["encoded"]) for r in out.collect()} == expected
 
 
-def test_large_tables_give_the_same_rows(spark):
-    """Null and empty sequences, equal ids and clashing column names, shipped or joined."""
-    rows = [("x", ["a", "zz"]), ("x", ["b"]), ("y", None), ("z", []), (None, ["b", None])]
-    samples = spark.createDataFrame([(*r, 1) for r in rows], "sample_id string, sequence array<string>, idx int")
+def test_dictionaries_come_back_to_their_rows(spark):
+    """Null and empty sequences, equal ids, repeated rows and clashing column names, however the rows are dealt."""
+    rows = [("x", ["a", "zz"]), ("x", ["b"]), ("y", None), ("z", []), (None, ["b", None]), ("x", ["b"]), ("n", [None])]
+    samples = spark.createDataFrame([(*r, 1, 2, "k") for r in rows], "sample_id string, sequence array<string>, idx int, _part int, key string")
     vocab = table(spark, {"<PAD>": 0, "<UNK>": 1, "a": 2, "b": 3})
+    spelled = spark.createDataFrame([("a", "b"), ("b", "b"), ("zz", "a")], "token string, resolved string")
     key = lambda r: (str(r[0]), str(r[1]))
-    for most in (10, 0):
-        got = v.encode_sequences(samples, vocab, max_entries=most)
-        assert sorted(((r["sample_id"], r["encoded"]) for r in got.collect()), key=key) == sorted(
-            [("x", [2, 1]), ("x", [3]), ("y", None), ("z", []), (None, [3, 1])], key=key)
-        spelled = spark.createDataFrame([("a", "b"), ("b", "b")], "token string, resolved string")
-        got = v.rewrite_sequences(samples, spelled, max_entries=most)
-        assert sorted(((r["sample_id"], r["sequence"]) for r in got.collect()), key=key) == sorted(
-            [("x", ["b", "zz"]), ("x", ["b"]), ("y", None), ("z", []), (None, ["b", None])], key=key)
+    want = sorted([("x", [2, 1]), ("x", [3]), ("x", [3]), ("y", None), ("z", []), (None, [3, 1]), ("n", [1])], key=key)
+    respelled = sorted([("x", ["b", "a"]), ("x", ["b"]), ("x", ["b"]), ("y", None), ("z", []), (None, ["b", None]), ("n", [None])], key=key)
+    for n in (1, 3, 20):
+        dealt = samples.repartition(n)
+        got = v.encode_sequences(dealt, vocab)
+        assert got.columns == [*samples.columns, "encoded"]
+        assert sorted(((r["sample_id"], r["encoded"]) for r in got.collect()), key=key) == want
+        got = v.rewrite_sequences(dealt, spelled).collect()
+        assert sorted(((r["sample_id"], r["sequence"]) for r in got), key=key) == respelled
+    none = samples.limit(0)
+    assert v.encode_sequences(none, vocab).count() == 0 and v.normalise_sequences(none, vocab).count() == 0
+
+
+def test_streamed_batches_read_the_shards_they_need(spark, tmp_path, seqs):
+    names = [f"t{i}" for i in range(300)]
+    encode = v.row_encoder(v.build_vocabulary(seqs([names])), shard_bytes=500)
+    seqs([names[i:i + 40] + ["new"] for i in range(0, 300, 7)]).repartition(4).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("sample_id string, sequence array<string>, label string").parquet(str(tmp_path / "in"))
+    query = encode(stream, "encoded").writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state"))
+    query.option("path", str(tmp_path / "out")).trigger(availableNow=True).start().awaitTermination()
+    order = {t: i + 2 for i, t in enumerate(sorted(names))}
+    rows = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert len(rows) == 43 and all(list(r["encoded"]) == [order.get(t, 1) for t in r["sequence"]] for r in rows)
 
 
 def test_pad(one):
@@ -129,6 +146,9 @@ def test_spellings(spark, seqs):
     assert got == {t: python_spelling(t, vocab, CALL_ALIASES) for t in tokens}
     out = v.normalise_sequences(seqs([tokens, [], ["sleep", "sleep"]]), table_)
     rows = {r["sample_id"]: list(r["sequence"]) for r in out.collect()}
+    both = v.normalise_and_encode(seqs([tokens, [], ["sleep", "sleep"]]), table_).collect()
+    assert {r["sample_id"]: list(r["sequence"]) for r in both} == rows
+    assert all(list(r["encoded"]) == [vocab.get(t, 1) for t in r["sequence"]] for r in both)
     assert rows == {"0": [got[t] for t in tokens], "1": [], "2": ["ntdelayexecution"] * 2}
 
 
@@ -138,5 +158,5 @@ def test_random_encoding_paths_agree(spark, seqs):
     vocab = v.build_vocabulary(seqs(rows[:20]))
     samples = seqs(rows)
     a = {r["sample_id"]: list(r["encoded"]) for r in v.encode_sequences(samples, vocab).collect()}
-    b = {r["sample_id"]: list(r["encoded"]) for r in v.encode_sequences(samples, vocab, max_entries=0).collect()}
+    b = {r["sample_id"]: list(r["encoded"]) for r in v.row_encoder(vocab)(samples, "encoded").collect()}
     assert a == b and all(len(a[str(i)]) == len(s) for i, s in enumerate(rows))
