@@ -103,8 +103,8 @@ al AS (SELECT t.sample_id, cls.y, coalesce(score, 0.0) AS score FROM tst t CROSS
 ex AS (SELECT sample_id, y, exp(score - max(score) OVER (PARTITION BY sample_id)) AS e FROM al)"""
 
 
-_MARKOV = _markov(40)
-# windows of 40 tokens every 20, each scored alone, averaged by sample
+_MARKOV = _markov(1_000_000_000)  # whole pages
+# windows of 40 tokens every 20 over the whole page, each scored alone, averaged by sample
 _SLIDING = f"""{_MARKOV}, xa AS (SELECT sample_id, pos, idx AS a, lead(idx) OVER (PARTITION BY sample_id ORDER BY pos) AS b
   FROM (SELECT sample_id, pos, coalesce(idx, 1) AS idx FROM ({sql_calls('tst')}) LEFT JOIN vocab USING (token))),
 wn AS (SELECT sample_id, page_id % 4 AS truth, unnest(range(CASE WHEN len(seq) <= 40 THEN 1 ELSE cast(ceil((len(seq) - 40) / 20.0) AS int) + 1 END)) AS w FROM tst),
@@ -126,7 +126,7 @@ def _page_parts(spark, d):
 @query("M2_transition_scores", f"""WITH {_MARKOV} SELECT sample_id, y AS class_idx, {sql_r6('e / sum(e) OVER (PARTITION BY sample_id)')} AS prob FROM ex""")
 def m2(spark, d):
     train, test, size = _page_parts(spark, d)
-    model = markov.train_transitions(train, 4, size, 40)
+    model = markov.train_transitions(train, 4, size)
     scored = markov.score_padded(test, model, size)
     return scored.select("sample_id", F.posexplode("probs").alias("class_idx", "prob")).withColumn("prob", r6("prob"))
 
@@ -134,8 +134,8 @@ def m2(spark, d):
 @query("M2_sliding_scores", f"""WITH {_SLIDING} SELECT sample_id, truth AS y, arg_max(y, (round(p, 12), -y)) AS y_pred, {sql_r6('max(p)')} AS confidence FROM wa GROUP BY ALL""")
 def m2_sliding(spark, d):
     train, test, size = _page_parts(spark, d)
-    model = markov.train_transitions(train, 4, size, 40)
-    return markov.score_sliding(test, model, size, stride=20).select("sample_id", "y", "y_pred", r6(F.array_max("probs")).alias("confidence"))
+    model = markov.train_transitions(train, 4, size)
+    return markov.score_sliding(test, model, size, stride=20, width=40).select("sample_id", "y", "y_pred", r6(F.array_max("probs")).alias("confidence"))
 
 
 def _sweep_sql(widths: list[int]) -> str:

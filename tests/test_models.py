@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from seqlab import fixed_values as V
 from seqlab.functions.labels import category_from
+from seqlab.operators.windows import aggregate_windows, sliding_windows
 from seqlab.operators import explain, features, markov, metrics, splits, trees
 from seqlab.operators import vocabulary as v
 from seqlab.plans import preparation, scoring
@@ -120,6 +121,29 @@ def test_transition_scores_match_loops(prepared):
     assert sweep.count() == 2 and best["max_len"] in (5, 30)
 
 
+@pytest.mark.parametrize("how", ["mean", "max"])
+def test_window_scores_are_those_of_the_windows(spark, how):
+    """Differences of sums against windows built one by one; padding inside rows, empty, null and repeated rows."""
+    rng = random.Random(5)
+    draw = lambda n: [rng.choice([0, 1, 2, 2, 3, 4, 5]) for _ in range(n)]
+    lengths = [0, 1, 2, 6, 7, 8, 13, 30, 31, 200]
+    rows = [(str(i), draw(n), i % 2, "p") for i, n in enumerate(lengths)] + [("zeros", [0, 0, 0, 2], 0, "p"), ("unseen", [9, 8, 9, 7] * 5, 1, "p")]
+    samples = spark.createDataFrame(rows, "sample_id string, encoded array<int>, y int, part string")
+    model = markov.train_transitions(samples.where("sample_id < '8'"), 2, 7)
+    got = {r["sample_id"]: r for r in markov.score_sliding(samples.repartition(5), model, 7, 4, how, width=7).collect()}
+    each = sliding_windows(samples.select("sample_id", "encoded"), 7, 4).withColumn("encoded", F.col("window"))
+    want = aggregate_windows(markov.score_padded(each, model, 7).select("sample_id", "probs"), 2, how)
+    for r in want.collect():
+        assert list(got[r["sample_id"]]["probs"]) == pytest.approx(list(r["probs"]), abs=1e-9)
+        assert got[r["sample_id"]]["y_pred"] == r["probs"].index(max(r["probs"]))
+    assert len(got) == len(rows)
+    odd = spark.createDataFrame([("a", None), ("a", None), ("b", [2, None, 3])], "sample_id string, encoded array<int>")
+    assert [list(r["probs"]) for r in markov.score_sliding(odd.where("sample_id = 'a'"), model, 7).collect()] == [[0.5, 0.5]] * 2
+    assert markov.score_padded(odd.limit(0), model, 7).count() == 0
+    with pytest.raises(ValueError):
+        markov.score_sliding(odd, model, 7, how="median")
+
+
 def test_transition_scores_without_broadcast(prepared, monkeypatch):
     from seqlab.operators import skew
 
