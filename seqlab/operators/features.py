@@ -7,7 +7,7 @@ only step that aggregates over the corpus.
 
 from __future__ import annotations
 
-from pyspark.ml.feature import CountVectorizerModel, Normalizer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from seqlab import fixed_values as V
 from seqlab.functions.arrays import indices, let, ngrams, pairs, ratio, run_counts, total, vector_cells
 from seqlab.functions.labels import CategoryOf, missing_table
+from seqlab.operators import ngram_counts
 
 STATISTIC_NAMES = (
     ["log_seq_length", "log_unique_count", "unique_ratio"]
@@ -46,9 +47,8 @@ def top_ngrams(
     samples: DataFrame, max_features: int = V.TF_MAX_FEATURES,
     ngram_range: tuple[int, int] = V.TF_NGRAM_RANGE, min_len: int = 2,
 ) -> DataFrame:
-    """(ngram, n) of the most frequent n-grams; ties by n-gram."""
-    grams = samples.select(F.explode(row_ngrams(F.col("sequence"), ngram_range, min_len)).alias("ngram"))
-    return grams.groupBy("ngram").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "ngram").limit(max_features)
+    """(ngram, n) of the most frequent n-grams; ties by n-gram. Only n-grams that can be among them are shuffled."""
+    return ngram_counts.top_ngrams(samples, max_features, ngram_range, min_len)
 
 
 def ngram_vocabulary(
@@ -81,10 +81,7 @@ def ngram_vectors(
 ) -> DataFrame:
     """Sparse L1-normalised n-gram vector per row, without a shuffle."""
     names = [r["ngram"] for r in vocab.orderBy("col_idx").collect()]  # at most max_features
-    model = CountVectorizerModel.from_vocabulary(names, inputCol="_grams", outputCol="_counts")
-    staged = samples.withColumn("_grams", row_ngrams(F.col("sequence"), ngram_range, min_len))
-    out = Normalizer(inputCol="_counts", outputCol=output, p=1.0).transform(model.transform(staged))
-    return out.drop("_grams", "_counts")
+    return samples.withColumn(output, ngram_counts.share_vectors(names, ngram_range, min_len)("sequence"))
 
 
 # ---- statistics ------------------------------------------------------------

@@ -122,3 +122,36 @@ def test_short_names(spark):
     want = {"bigram_filesystem_registry": "bi:filesystem>registry", "cat_network": "cat_network", "a" * 36: "a" * 33 + "..", "a" * 35: "a" * 35}
     rows = spark.createDataFrame([(n,) for n in want], "n string")
     assert {r["n"]: r["s"] for r in rows.select("n", short_feature_name(F.col("n")).alias("s")).collect()} == want
+
+
+def plain_ngrams(seq, low, high):
+    import re
+
+    words = re.findall(r"\b\w{2,}\b", " ".join(t for t in seq or [] if t is not None).lower())
+    return [" ".join(words[i:i + n]) for n in range(low, high + 1) for i in range(len(words) - n + 1)]
+
+
+@pytest.mark.parametrize("n", [1, 7, 60, 100_000])
+def test_top_ngrams_by_threshold_are_exact(spark, monkeypatch, n):
+    """Few buckets, so that totals mix n-grams; many ties; null, empty and repeated rows; tokens of several words."""
+    from collections import Counter
+
+    from seqlab.operators import ngram_counts
+
+    monkeypatch.setattr(ngram_counts, "BUCKETS", 512)
+    rng = random.Random(4)
+    tokens = [f"w{int(rng.paretovariate(0.7)) % 90}" for _ in range(4000)] + ["a-b cd", "É_x", "z", None, "Ab"] * 20
+    rows = [(str(i), [rng.choice(tokens) for _ in range(rng.randint(0, 40))]) for i in range(120)] + [("n", None), ("e", []), ("r", ["aa", "bb"]), ("r", ["aa", "bb"])]
+    samples = spark.createDataFrame(rows, "sample_id string, sequence array<string>").repartition(9)
+    counts = Counter(g for _, seq in rows for g in plain_ngrams(seq, 1, 3))
+    want = sorted(counts.items(), key=lambda kv: (-kv[1], kv[0].encode()))[:n]
+    got = [(r["ngram"], r["n"]) for r in ft.top_ngrams(samples, n).collect()]
+    assert sorted(got, key=lambda kv: (-kv[1], kv[0].encode())) == want
+    vocab = spark.createDataFrame([(g, i) for i, (g, _) in enumerate(sorted(want))], "ngram string, col_idx int")
+    names = sorted(g for g, _ in want)
+    if n <= 60:
+        for r in ft.ngram_vectors(samples, vocab).collect():
+            own = Counter(g for g in plain_ngrams(r["sequence"], 1, 3) if g in set(names))
+            total = sum(own.values())
+            assert {names[i]: round(v, 12) for i, v in zip(r["tf"].indices, r["tf"].values)} == {g: round(c / total, 12) for g, c in own.items()}
+    assert ft.top_ngrams(samples.limit(0), n).count() == 0
