@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from seqlab import fixed_values as V
 from seqlab import runtime
+from seqlab.operators import dictionaries
 from seqlab.operators.skew import number_within, rank_rows
 
 
@@ -21,36 +25,55 @@ def draw_int(hex_digest: Column) -> Column:
     return F.conv(F.substring(hex_digest, 1, 8), 16, 10).cast("long")
 
 
-def _shuffled_rank(samples: DataFrame, label: str, seed: int) -> DataFrame:
-    """Rank within class in drawn order. The leading hex digits spread a large
-    class over up to 4096 groups of equal expected size."""
-    drawn = samples.withColumn("_draw", draw(F.col("sample_id"), seed))
-    return number_within(
-        drawn, [label], [F.col("_draw"), F.col("sample_id")], F.substring("_draw", 1, 3), "_rank"
-    ).drop("_draw")
-
-
 def _class_of(label: str) -> Column:
     """The label as a key that is never null."""
     return F.to_json(F.struct(F.col(label).alias("v"))).alias("_class")
 
 
+# Hexadecimal digits of a draw that one pass counts, and the rows of a class in which its cut is then looked for.
+DIGITS = 3
+CUT_ROWS = 10_000
+
+
+def class_cuts(samples: DataFrame, size: Column, seed: int, label: str) -> DataFrame:
+    """(_class, _cut): the draw and id of each class's row number ``size`` in drawn order; ``size`` sees the class's count ``n``.
+
+    Draws are counted by their leading digits, then only inside the digits that hold the cut, until those hold few
+    rows. Counts are added up where the rows are; rows are only sent for the last group of each class.
+    """
+    own = samples.select(_class_of(label), draw(F.col("sample_id"), seed).alias("d"), F.col("sample_id").alias("i"))
+
+    def groups(rows: DataFrame, digits: int) -> DataFrame:
+        """(_class, head, n, before, of): rows by leading digits, those before them and all of their class."""
+        heads = rows.groupBy("_class", F.substring("d", 1, digits).alias("head")).agg(F.count("*").alias("n"))
+        earlier = Window.partitionBy("_class").orderBy("head").rowsBetween(Window.unboundedPreceding, -1)
+        return heads.select("*", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy("_class")).alias("of"))
+
+    holds = (F.col("before") < F.col("k")) & (F.col("k") <= F.col("before") + F.col("n"))
+    found = groups(own, DIGITS).withColumn("k", size(F.col("of")))
+    cut = runtime.small_table(found.where(holds).select("_class", "head", "n", (F.col("k") - F.col("before")).alias("k")))
+    digits = DIGITS
+    while digits < 32 and cut.where(F.col("n") > CUT_ROWS).limit(1).count():
+        digits += DIGITS
+        inside = own.join(cut.select("_class", "head", "k"), "_class").where(F.startswith("d", "head")).drop("head")
+        asked = runtime.small_table(cut.select("_class", "k"))
+        found = groups(inside, digits).join(asked, "_class")
+        cut = runtime.small_table(found.where(holds).select("_class", "head", "n", (F.col("k") - F.col("before")).alias("k")))
+    last = own.join(cut.select("_class", "head", "k"), "_class").where(F.startswith("d", "head"))
+    order = Window.partitionBy("_class").orderBy("d", "i")
+    at = last.withColumn("r", F.row_number().over(order)).where("r = k")
+    return at.select("_class", F.struct("d", "i").alias("_cut"))
+
+
 def stratified_split(
     samples: DataFrame, test_size: float = V.TEST_SIZE, seed: int = V.RANDOM_SEED, label: str = "label",
 ) -> DataFrame:
     """Add ``split`` ('train'/'test') with exact per-class test sizes.
 
-    Only (id, label) pairs are ranked. Each class then has one cut in drawn
-    order, which the full rows are compared with where they are. Rows without a
-    label are a class of their own.
+    Each class has one cut in drawn order, which the full rows are compared with where they are. Rows without a
+    label are a class of their own; rows without an id share one draw and stay together.
     """
-    keys = samples.select("sample_id", _class_of(label))
-    sizes = runtime.small_table(keys.groupBy("_class").agg(F.round(F.count("*") * F.lit(test_size)).cast("long").alias("_rank")))
-    cuts = runtime.small_table(
-        _shuffled_rank(keys, "_class", seed).join(sizes, ["_class", "_rank"]).select(
-            "_class", F.struct(draw(F.col("sample_id"), seed).alias("d"), F.col("sample_id").alias("i")).alias("_cut")
-        )
-    )
+    cuts = runtime.small_table(class_cuts(samples, lambda n: F.round(n * F.lit(test_size)).cast("long"), seed, label))
     own = F.struct(draw(F.col("sample_id"), seed).alias("d"), F.col("sample_id").alias("i"))
     split = F.when(own <= F.col("_cut"), "test").otherwise("train")
     keyed = samples.withColumn("_class", _class_of(label))
@@ -60,12 +83,23 @@ def stratified_split(
 def stratified_folds(samples: DataFrame, k: int = V.CV_FOLDS, seed: int = V.RANDOM_SEED, label: str = "label") -> DataFrame:
     """Add ``fold`` in 0..k-1; class sizes differ by at most one between folds.
 
-    Only (id, label) pairs are ranked; ids are unique. Rows without a label are a class of their own.
+    Rows are stored once; only their draws are ranked (leading digits spread a large class), and a partition's folds
+    come back to it as a dictionary, so full rows never move. Rows without a label are a class of their own; rows
+    without an id share one draw, and those of a partition one fold.
     """
-    keys = samples.select("sample_id", _class_of(label))
-    ranked = _shuffled_rank(keys, "_class", seed)
-    folds = ranked.select("sample_id", F.pmod(F.col("_rank") - 1, F.lit(k)).cast("int").alias("fold")).dropDuplicates(["sample_id"])
-    return samples.join(folds, "sample_id").select(*samples.columns, "fold")
+    drawn = samples.withColumn("_draw", draw(F.col("sample_id"), seed)).withColumn("_class", _class_of(label))
+    name = F.concat_ws(":", "_draw", F.coalesce(F.concat(F.lit("="), F.col("sample_id").cast("string")), F.lit("")), "_class")
+    staged = dictionaries.stage(drawn.withColumn("_key", name))
+    light = staged.rows.select(F.col(staged.part).alias("part"), F.col("_key").alias("key"), "_class", "_draw")
+    ranked = number_within(light, ["_class"], [F.col("_draw"), F.col("key")], F.substring("_draw", 1, DIGITS), "_rank")
+    folds = ranked.groupBy("part", "key").agg(F.min(F.pmod(F.col("_rank") - 1, F.lit(k)).cast("int")).alias("fold"))
+
+    def apply(batch: pa.RecordBatch, known: pa.Table) -> list[pa.Array]:
+        at = pc.index_in(batch.column("_key"), value_set=known.column("key"))
+        fold = pc.take(known.column("fold"), at)
+        return [fold.combine_chunks() if isinstance(fold, pa.ChunkedArray) else fold]
+
+    return dictionaries.looked_up(staged, folds, apply, StructType([StructField("fold", IntegerType())])).select(*samples.columns, "fold")
 
 
 def augment(

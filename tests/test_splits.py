@@ -42,6 +42,34 @@ def test_rows_without_a_label_are_a_class(spark):
     assert {r["label"]: r["count"] for r in parts} == {None: 2, "a": 4} and splits.add_class_weight(rows).count() == 30
 
 
+@pytest.mark.parametrize("few", [10_000, 2])
+def test_cuts_by_digits_are_those_of_a_ranking(spark, monkeypatch, few):
+    """One class with most rows, tiny classes, null labels; digits refined until few rows are left; folds too."""
+    import hashlib
+
+    monkeypatch.setattr(splits, "CUT_ROWS", few)
+    monkeypatch.setattr(splits, "DIGITS", 1)
+    rows = [(f"s{i}", "big" if i % 10 else ("a", "b", None)[i // 10 % 3], i) for i in range(900)] + [("solo", "one", 0)]
+    df = spark.createDataFrame(rows, "sample_id string, label string, _rank int")
+    digest = lambda i: hashlib.md5(f"{i}:42".encode()).hexdigest()
+    test, fold = set(), {}
+    for c in ("big", "a", "b", None, "one"):
+        ids = sorted((i for i, y, _ in rows if y == c), key=lambda i: (digest(i), i))
+        test |= set(ids[:int(len(ids) * 0.2 + 0.5)])
+        fold |= {i: r % 3 for r, i in enumerate(ids)}
+    got = splits.stratified_split(df)
+    assert got.columns == [*df.columns, "split"]
+    assert {r["sample_id"] for r in got.where("split = 'test'").collect()} == test and got.count() == len(rows)
+    assert as_map(splits.stratified_folds(df.repartition(7)), "fold") == fold
+
+
+def test_rows_without_an_id_are_kept(spark):
+    df = spark.createDataFrame([(None if i % 3 == 0 else f"s{i}", "a", i) for i in range(60)], "sample_id string, label string, n int")
+    for out in (splits.stratified_split(df), splits.stratified_folds(df, 3)):
+        assert sorted(r["n"] for r in out.collect()) == list(range(60))
+    assert splits.stratified_split(df.limit(0)).count() == 0 and splits.stratified_folds(df.limit(0)).count() == 0
+
+
 def test_folds_are_even(samples):
     rows = splits.stratified_folds(samples, 3).groupBy("label", "fold").count().collect()
     for c in "abcd":
