@@ -118,21 +118,20 @@ def p10(spark, d):
     return splits.without_label(_family_docs(spark, d), "Benign").select("sample_id", "label")
 
 
-@query("P11_known_classes", """SELECT cast(doc_id AS varchar) AS sample_id, source AS label FROM documents WHERE doc_id % 2 = 1 AND source IN (
+@query("P11_known_classes", """SELECT cast(doc_id AS varchar) AS sample_id, source AS label FROM documents WHERE source IN (
   SELECT source FROM documents JOIN labels USING (doc_id) WHERE toxic = 1)""")
 def p11(spark, d):
     docs = src.table(spark, d, "documents").select("doc_id", F.col("source").alias("label"))
     toxic = src.table(spark, d, "labels").where("toxic = 1").select("doc_id")
     classes = splits.class_dimension(docs.join(toxic, "doc_id", "left_semi"))
-    rows = splits.known_classes_only(docs.where("doc_id % 2 = 1"), classes)
-    return rows.select(F.col("doc_id").cast("string").alias("sample_id"), "label")
+    return splits.known_classes_only(docs, classes).select(F.col("doc_id").cast("string").alias("sample_id"), "label")
 
 
 @query("P12_large_classes", """SELECT cast(doc_id AS varchar) AS sample_id, source AS label FROM documents WHERE source IN (
-  SELECT source FROM documents GROUP BY 1 HAVING count(*) >= 50)""")
+  SELECT source FROM documents GROUP BY 1 HAVING count(*) >= 10)""")
 def p12(spark, d):
     docs = src.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("sample_id"), F.col("source").alias("label"))
-    return splits.large_classes_only(docs, 50).select("sample_id", "label")
+    return splits.large_classes_only(docs).select("sample_id", "label")
 
 
 @query("P13_truncate", f"WITH {DOCS} SELECT sample_id, {sql_joined('seq[1:50]')} AS seq, least(len(seq), 50) AS n FROM docs")
