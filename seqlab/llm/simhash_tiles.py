@@ -13,6 +13,8 @@ if no row of that fingerprint has one; an empty table gives no rows; other colum
 
 from __future__ import annotations
 
+import io
+import math
 import uuid
 from collections.abc import Iterator
 
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqlab.llm.common import (
-    block_pairs, checkpointed, components, fetch_pairs, local_forest, open_fs, packed_blocks, salted_join, stored,
+    checkpointed, components, fetch_pairs, local_forest, open_fs, packed_blocks, salted_join, stored, width_for,
 )
 from seqlab.runtime import scratch_path
 
@@ -35,6 +37,10 @@ WIDE_SHINGLE = 5
 NEAR = 0.8
 WIDE_RADIUS = 32
 WIDE_TILE = 4096
+SQUARE = 8  # tiles a side of the squares of tile pairs that are dealt to tasks
+TILES_HELD = 2 * SQUARE + 2
+WORDS_HELD = 100_000
+HELD_BYTES = 48 << 20
 _BITS = np.array([[b >> i & 1 for i in range(8)] for b in range(256)], np.uint8)
 
 
@@ -162,25 +168,45 @@ def shingle_set(words: list[bytes], shingle: int) -> set[bytes]:
     return {b" ".join(t) for t in zip(*(words[i:] for i in range(shingle)))}
 
 
-def similar(a: set[bytes], b: set[bytes]) -> bool:
-    """Whether the Jaccard similarity is NEAR at least."""
-    if NEAR * max(len(a), len(b)) > min(len(a), len(b)):
-        return False
-    both = len(a & b)
-    return both >= NEAR * (len(a) + len(b) - both)
+def alike_sets(a: int, b: int, both: int) -> bool:
+    """Whether sets of these sizes with ``both`` members in common have a Jaccard similarity of NEAR at least."""
+    return both >= NEAR * (a + b - both)
 
 
-def wide_simhash(shingles: set[bytes]) -> tuple[int, int]:
-    """128-bit fingerprint of a set of shingles as two signed longs: bit i is set if it is in over half of their XXH128."""
-    h = np.frombuffer(b"".join(xxhash.xxh128_digest(x, 42) for x in shingles), np.uint8).reshape(-1, 16)
+def similar(a: set[bytes], b: set[bytes]) -> bool:
+    return alike_sets(len(a), len(b), len(a & b))
+
+
+def shingle_hashes(words: list[bytes], shingle: int, known: dict[bytes, int] | None = None) -> np.ndarray:
+    """(n, 2) hashes of the distinct shingles of a text, ascending by the first; ``known`` keeps hashes of words."""
+    known = {} if known is None else known
+    for w in set(words).difference(known):
+        known[w] = xxhash.xxh64_intdigest(w, 42)
+    x = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    size = min(shingle, len(words))
+    lanes_ = []
+    for factor in (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)):
+        h = np.full(max(1, len(x) - size + 1), size, np.uint64)
+        for k in range(size):
+            h = (h ^ x[k: k + len(h)]) * factor
+            h ^= h >> np.uint64(32)
+        h *= factor
+        lanes_.append(h ^ (h >> np.uint64(29)))
+    first, at = np.unique(lanes_[0], return_index=True)
+    return np.stack([first, lanes_[1][at]], 1)
+
+
+def wide_simhash(hashes: np.ndarray) -> tuple[int, int]:
+    """128-bit fingerprint of a text's shingle hashes as two signed longs: bit i is set if it is in over half of them."""
+    h = np.ascontiguousarray(hashes).view(np.uint8).reshape(-1, 16)
     ones = np.zeros(128, np.int64)
-    for at in range(0, len(h), 1 << 16):
-        ones += np.unpackbits(h[at: at + (1 << 16)], axis=1, bitorder="little").sum(0, dtype=np.int64)
+    for at in range(0, len(h), 1 << 14):
+        ones += np.unpackbits(h[at: at + (1 << 14)], axis=1, bitorder="little").sum(0, dtype=np.int64)
     return tuple(np.packbits(2 * ones > len(h), bitorder="little").view(np.int64).tolist())
 
 
 def _word_rows(folder: str, shingle: int):
-    """(row, doc_id, digest, fp, fp2, file, start, size): the words of each text lie in ``file`` from ``start`` on."""
+    """(row, doc_id, digest, fp, fp2, n, file, start, size): the words of each text lie in ``file`` from ``start`` on."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
@@ -188,6 +214,7 @@ def _word_rows(folder: str, shingle: int):
         fs, base = open_fs(folder)
         fs.create_dir(base, recursive=True)
         name, at, zip_ = f"{uuid.uuid4().hex}.words", 0, zstandard.ZstdCompressor(level=1)
+        known: dict[bytes, int] = {}
         with fs.open_output_stream(f"{base}/{name}", compression=None) as out:
             for f in frames:
                 rows = []
@@ -196,9 +223,12 @@ def _word_rows(folder: str, shingle: int):
                     joined = b" ".join(words)
                     data = zip_.compress(joined)
                     out.write(data)
-                    rows.append((xxhash.xxh128_digest(joined, 7), *wide_simhash(shingle_set(words, shingle)), name, at, len(data)))
+                    hashes = shingle_hashes(words, shingle, known)
+                    rows.append((xxhash.xxh128_digest(joined, 7), *wide_simhash(hashes), len(hashes), name, at, len(data)))
                     at += len(data)
-                made = pd.DataFrame(rows, columns=["digest", "fp", "fp2", "file", "start", "size"])
+                    if len(known) > WORDS_HELD:
+                        known.clear()
+                made = pd.DataFrame(rows, columns=["digest", "fp", "fp2", "n", "file", "start", "size"])
                 made.insert(0, "row", f["_row"].to_numpy())
                 made.insert(1, "doc_id", f["doc_id"].astype("Int64").array)
                 yield made
@@ -207,26 +237,42 @@ def _word_rows(folder: str, shingle: int):
 
 
 class Words:
-    """Shingle sets of texts by their place (file, start, size) in the shared folder."""
+    """Shingles of texts by their place (file, start, size) in the shared folder; hashes are kept up to HELD_BYTES."""
 
     def __init__(self, folder: str, shingle: int):
         self.fs, self.base = open_fs(folder)
-        self.shingle, self.open, self.sets = shingle, {}, {}
+        self.shingle, self.open, self.held, self.bytes = shingle, {}, {}, 0
 
-    def __getitem__(self, place: tuple[str, int, int]) -> set[bytes]:
+    def words(self, place: tuple[str, int, int]) -> list[bytes]:
         import zstandard
 
-        if place not in self.sets:
-            file, start, size = place
-            if file not in self.open:
-                if len(self.open) >= 64:
-                    self.open.pop(next(iter(self.open))).close()
-                self.open[file] = self.fs.open_input_file(f"{self.base}/{file}")
-            data = self.open[file].read_at(size, start)
-            if len(self.sets) >= 4 * WIDE_TILE:
-                self.sets.clear()
-            self.sets[place] = shingle_set(zstandard.ZstdDecompressor().decompress(data).split(), self.shingle)
-        return self.sets[place]
+        file, start, size = place
+        if file not in self.open:
+            if len(self.open) >= 64:
+                self.open.pop(next(iter(self.open))).close()
+            self.open[file] = self.fs.open_input_file(f"{self.base}/{file}")
+        return zstandard.ZstdDecompressor().decompress(self.open[file].read_at(size, start)).split()
+
+    def hashes(self, place: tuple[str, int, int]) -> np.ndarray:
+        if place not in self.held:
+            made = np.ascontiguousarray(shingle_hashes(self.words(place), self.shingle)[:, 0])
+            if self.bytes + made.nbytes > HELD_BYTES:
+                self.held.clear()
+                self.bytes = 0
+            self.held[place] = made
+            self.bytes += made.nbytes + 200
+        return self.held[place]
+
+    def similar(self, a: tuple[str, int, int], b: tuple[str, int, int]) -> bool:
+        """Jaccard similarity of NEAR at least. Equal hashes of unlike shingles could tip a close case, which the texts decide."""
+        x, y = self.hashes(a), self.hashes(b)
+        if NEAR * max(len(x), len(y)) > min(len(x), len(y)) + 1:
+            return False
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        low, high = (alike_sets(len(x), len(y), both + k) for k in (-2, 2))
+        if low == high:
+            return high
+        return similar(shingle_set(self.words(a), self.shingle), shingle_set(self.words(b), self.shingle))
 
 
 def confirmed_links(a: np.ndarray, b: np.ndarray, radius: int, same: bool, alike) -> list[tuple[int, int]]:
@@ -255,42 +301,88 @@ def confirmed_links(a: np.ndarray, b: np.ndarray, radius: int, same: bool, alike
     return links
 
 
-def _pack_wide(block: int, f: pd.DataFrame) -> pd.DataFrame:
-    fp = np.ascontiguousarray(f[["fp", "fp2"]].to_numpy(np.int64))
-    files = sorted(set(f["file"]))
-    at = {x: i for i, x in enumerate(files)}
-    place = np.stack([f["file"].map(at).to_numpy(np.int64), f["start"].to_numpy(np.int64), f["size"].to_numpy(np.int64)], 1)
-    return pd.DataFrame({
-        "block": [block], "data": [fp.tobytes()], "data_id": [f["id"].to_numpy(np.int64).tobytes()],
-        "data_place": [np.ascontiguousarray(place).tobytes()], "data_files": ["\n".join(files)],
-    })
+def _tile_writer(folder: str):
+    """Write a tile's columns into a file of the shared folder; (block, lo, hi, tile) with the range of its set sizes."""
+
+    def pack(block: int, f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values(["n", "fp", "fp2", "id"])
+        files = sorted(set(f["file"]))
+        at = {x: i for i, x in enumerate(files)}
+        place = np.stack([f["file"].map(at).to_numpy(np.int64), f["start"].to_numpy(np.int64), f["size"].to_numpy(np.int64)], 1)
+        out, name = io.BytesIO(), f"{uuid.uuid4().hex}.npz"
+        fp = np.ascontiguousarray(f[["fp", "fp2"]].to_numpy(np.int64)).view(np.uint64)
+        np.savez(out, fp=fp, id=f["id"].to_numpy(np.int64), place=place, files=np.array(files))
+        fs, base = open_fs(folder)
+        fs.create_dir(base, recursive=True)
+        with fs.open_output_stream(f"{base}/{name}", compression=None) as file:
+            file.write(out.getvalue())
+        return pd.DataFrame({"block": [block], "lo": [int(f["n"].min())], "hi": [int(f["n"].max())], "tile": [name]})
+
+    return pack
+
+
+class Tiles:
+    """Tiles by file name; the latest TILES_HELD are kept."""
+
+    def __init__(self, folder: str):
+        self.fs, self.base = open_fs(folder)
+        self.held: dict[str, dict[str, np.ndarray]] = {}
+
+    def __getitem__(self, name: str) -> dict[str, np.ndarray]:
+        if name in self.held:
+            self.held[name] = self.held.pop(name)
+        else:
+            if len(self.held) >= TILES_HELD:
+                self.held.pop(next(iter(self.held)))
+            with self.fs.open_input_file(f"{self.base}/{name}") as f:
+                self.held[name] = dict(np.load(io.BytesIO(f.read())))
+        return self.held[name]
+
+
+def tile_pairs(tiles: DataFrame) -> DataFrame:
+    """(a, b, a_tile, b_tile) of the pairs of tiles, itself included, whose set sizes can reach NEAR; dealt as squares.
+
+    A set can only be NEAR to one of at least NEAR times its size, that is in the next step of a logarithmic scale at
+    most; tiles are ordered by size, so few steps are spanned by one.
+    """
+    step = lambda c: F.floor(F.log(F.greatest(F.col(c), F.lit(1)).cast("double")) / F.lit(-math.log(NEAR))).cast("int")
+    side = lambda s: tiles.select(
+        F.col("block").alias(s), F.col("lo").alias(f"{s}_lo"), F.col("hi").alias(f"{s}_hi"), F.col("tile").alias(f"{s}_tile"),
+        F.explode(F.sequence(step("lo"), step("hi") + 2)).alias("step"))
+    near = F.lit(NEAR) * F.greatest("a_lo", "b_lo") <= F.least("a_hi", "b_hi") + 1
+    met = side("a").join(side("b"), "step").where((F.col("a") <= F.col("b")) & near)
+    pairs = checkpointed(met.select("a", "b", "a_tile", "b_tile").distinct())
+    square = [F.expr(f"{s} div {SQUARE}") for s in "ab"]
+    width = width_for(pairs.sparkSession, pairs.count())
+    return pairs.repartition(width, *square).sortWithinPartitions(*square, "a", "b")
 
 
 def similar_links(classes: DataFrame, folder: str, radius: int, shingle: int, tile: int) -> DataFrame:
-    """Spanning links (u, v) between ids of texts within ``radius`` bits whose shingle sets are ``similar``."""
-    schema = "block long, data binary, data_id binary, data_place binary, data_files string"
-    tiles = packed_blocks(classes, [F.col("fp"), F.col("fp2"), F.col("id")], tile, "wide-tiles", schema, _pack_wide)
+    """Spanning links (u, v) between ids of texts within ``radius`` bits whose shingle sets are ``similar``.
+
+    Tiles are files that tasks read by name; only pairs of names are shuffled.
+    """
+    tile_folder = scratch_path(classes.sparkSession, "tile-files")
+    order = [F.col(c) for c in ("n", "fp", "fp2", "id")]
+    tiles = packed_blocks(classes, order, tile, "wide-tiles", "block long, lo long, hi long, tile string", _tile_writer(tile_folder))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = Words(folder, shingle)
+        words, tiles_ = Words(folder, shingle), Tiles(tile_folder)
         for f in frames:
             us, vs = [], []
-            for r in f.to_dict("records"):
-                fps = [np.frombuffer(r[f"{s}_data"], np.uint64).reshape(-1, 2) for s in "ab"]
-                ids = [np.frombuffer(r[f"{s}_data_id"], np.int64) for s in "ab"]
-                files = [r[f"{s}_data_files"].split("\n") for s in "ab"]
-                places = [np.frombuffer(r[f"{s}_data_place"], np.int64).reshape(-1, 3) for s in "ab"]
-
-                def text(side: int, row: int) -> set[bytes]:
-                    file, start, size = places[side][row].tolist()
-                    return words[files[side][file], start, size]
-
-                for u, v in confirmed_links(*fps, radius, r["a"] == r["b"], lambda u, v: similar(text(0, u), text(1, v))):
-                    us.append(ids[0][u])
-                    vs.append(ids[1][v])
+            for a, b, a_tile, b_tile in zip(f["a"], f["b"], f["a_tile"], f["b_tile"]):
+                x, y = tiles_[a_tile], tiles_[b_tile]
+
+                def place(t: dict[str, np.ndarray], row: int) -> tuple[str, int, int]:
+                    file, start, size = t["place"][row].tolist()
+                    return str(t["files"][file]), start, size
+
+                links = confirmed_links(x["fp"], y["fp"], radius, a == b, lambda u, v: words.similar(place(x, u), place(y, v)))
+                us += [x["id"][u] for u, _ in links]
+                vs += [y["id"][v] for _, v in links]
             yield pd.DataFrame({"u": np.array(us, np.int64), "v": np.array(vs, np.int64)})
 
-    return block_pairs(tiles, ["data", "data_id", "data_place", "data_files"]).mapInPandas(run, "u long, v long")
+    return tile_pairs(tiles).mapInPandas(run, "u long, v long")
 
 
 def keep_one(docs: DataFrame, shingle: int = WIDE_SHINGLE, radius: int = WIDE_RADIUS, tile: int = WIDE_TILE) -> DataFrame:
@@ -302,13 +394,16 @@ def keep_one(docs: DataFrame, shingle: int = WIDE_SHINGLE, radius: int = WIDE_RA
     """
     spark = docs.sparkSession
     folder = scratch_path(spark, "words")
-    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    schema = "row long, doc_id long, digest binary, fp long, fp2 long, file string, start long, size long"
-    made = checkpointed(rows.select("_row", "doc_id", "text").mapInPandas(_word_rows(folder, shingle), schema))
+    own = "_row"
+    while own in docs.columns:
+        own += "_"
+    rows = stored(docs.withColumn(own, F.monotonically_increasing_id()), "rows")
+    schema = "row long, doc_id long, digest binary, fp long, fp2 long, n long, file string, start long, size long"
+    made = checkpointed(rows.select(F.col(own).alias("_row"), "doc_id", "text").mapInPandas(_word_rows(folder, shingle), schema))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
-    place = F.min_by(F.struct("fp", "fp2", "file", "start", "size"), "row")
+    place = F.min_by(F.struct("fp", "fp2", "n", "file", "start", "size"), "row")
     classes = checkpointed(made.groupBy("digest").agg(F.min("row").alias("id"), best.alias("best"), place.alias("p")).select("id", "best", "p.*"))
-    found = components(similar_links(classes.select("id", "fp", "fp2", "file", "start", "size"), folder, radius, shingle, tile))
+    found = components(similar_links(classes.select("id", "fp", "fp2", "n", "file", "start", "size"), folder, radius, shingle, tile))
     group = F.coalesce("component", "id")
     kept = classes.join(found, classes["id"] == found["node"], "left").groupBy(group.alias("group")).agg(F.min("best").alias("best"))
-    return rows.join(kept.select(F.col("best.row").alias("_row")), "_row", "left_semi").select(*docs.columns)
+    return rows.join(kept.select(F.col("best.row").alias(own)), own, "left_semi").select(*docs.columns)

@@ -83,7 +83,7 @@ def test_recall_of_the_radius_at_the_least_similarity():
         other = [x.encode() if isinstance(x, str) else x for x in replaced_words(r, words, 0.023)]
         a, b = op.shingle_set(words, 5), op.shingle_set(other, 5)
         if 0.8 <= len(a & b) / len(a | b) < 0.83:
-            x, y = (np.array(op.wide_simhash(s), np.int64).view(np.uint64) for s in (a, b))
+            x, y = (np.array(op.wide_simhash(op.shingle_hashes(w, 5)), np.int64).view(np.uint64) for w in (words, other))
             tried += 1
             missed += int(np.bitwise_count(x ^ y).sum()) > op.WIDE_RADIUS
     assert tried > 200 and missed <= 0.01 * tried, (missed, tried)
@@ -95,3 +95,25 @@ def test_keep_one_on_repeated_and_missing_ids(docs):
     assert sorted((r["doc_id"] or -1, r["text"]) for r in kept) == sorted([(4, a), (4, b), (-1, c)])
     twins = op.keep_one(docs([(4, a), (4, a), (4, a)])).collect()
     assert [r["doc_id"] for r in twins] == [4]
+
+
+def test_hashed_shingles_are_the_distinct_shingles():
+    r = random.Random(2)
+    for n in (0, 1, 4, 5, 6, 300):
+        words = [f"w{r.randrange(8)}".encode() for _ in range(n)]
+        assert len(op.shingle_hashes(words, 5)) == len(op.shingle_set(words, 5))
+    a, b = [[f"w{i}".encode() for i in x] for x in (range(100), range(50, 150))]
+    x, y = (set(op.shingle_hashes(w, 5)[:, 0].tolist()) for w in (a, b))
+    assert len(x & y) == len(op.shingle_set(a, 5) & op.shingle_set(b, 5)) == 46
+
+
+def test_keep_one_on_unlike_lengths_and_clashing_names(docs, spark):
+    """Sizes around the least similarity, a long text, and columns named as inner ones."""
+    r = random.Random(3)
+    words = [f"w{r.randrange(10**5)}" for _ in range(130_000)]
+    texts = [" ".join(words[:n]) for n in (104, 100, 84, 80, 60, 20, 5, 4, 1, 0)] + [" ".join(words), " ".join(words[:-40])]
+    df = docs(texts).withColumnsRenamed({"component": "_row", "id": "tile"})
+    got = op.keep_one(df, tile=3)
+    assert got.columns == df.columns and {x["_row"] for x in got.collect()} == {"u"}
+    assert sorted(x["doc_id"] for x in got.collect()) == [0, 4, 5, 6, 7, 8, 9, 10]
+    assert op.keep_one(docs([])).count() == 0
