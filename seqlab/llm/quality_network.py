@@ -270,5 +270,6 @@ def kept(docs: DataFrame, labels: DataFrame, learn: Column, keep: float = KEEP,
         for b in batches:
             x = np.array([document_vector(units.of(t), v) for t in b.column("text").to_pylist()], np.float64).reshape(-1, DIM + 1)
             yield b.filter(pa.array(network.probability(x) >= keep))
+        _UNITS_HERE.clear()  # workers are used again by later stages
 
     return docs.mapInArrow(run, docs.schema)

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqlab.llm.common import checkpointed, numbered, open_fs, released, stored
+from seqlab.llm.common import checkpointed, numbered, open_fs, released, stored, width_for
 from seqlab.runtime import scratch_path
 
 BLOCK_ROWS = 4096
@@ -366,6 +366,11 @@ def edge_segments(before: bool, after: bool, n: int) -> list[int]:
     return sorted({*([0] if before else []), *([n - 1] if after else [])})
 
 
+def dealt(blocks: DataFrame) -> DataFrame:
+    """Blocks over tasks by their number: a row is small, but stands for a block's texts."""
+    return blocks.repartition(width_for(blocks.sparkSession, blocks.count()), "block")
+
+
 PLACE = ("block", "cuts", "file", "start", "size", "before", "after")
 
 
@@ -389,7 +394,7 @@ def late_repeats(blocks: DataFrame, folder: str) -> DataFrame:
             yield pd.DataFrame(out, columns=["block", "i", "k", "key"])
 
     edges = blocks.where("before OR after")
-    rows = edges.select(*PLACE).mapInPandas(run, "block long, i int, k int, key binary")
+    rows = dealt(edges.select(*PLACE)).mapInPandas(run, "block long, i int, k int, key binary")
     name = F.coalesce(F.concat(F.lit("="), F.col("conv").cast("string")), F.lit("-"))
     convs = edges.select("block", F.posexplode("convs").alias("k", "conv")).withColumn("conv", name)
     named = checkpointed(rows.join(convs, ["block", "k"]))
@@ -429,7 +434,7 @@ def chunk_chains(blocks: DataFrame, folder: str) -> DataFrame:
                     out.append((r["block"], own, packed_shapes(steps, got), first, last, list(steps.shapes[got[0]]), True))
             yield pd.DataFrame(out, columns=["block", "codes", "shapes", "first", "last", "entry", "moved"])
 
-    return blocks.where("before OR after").select(*PLACE, "late").mapInPandas(run, CHUNKS)
+    return dealt(blocks.where("before OR after").select(*PLACE, "late")).mapInPandas(run, CHUNKS)
 
 
 CHUNKS = f"block long, codes binary, shapes binary, first boolean, last boolean, entry {SHAPE}, moved boolean"
@@ -560,7 +565,7 @@ def pieces(blocks: DataFrame, folder: str, out_folder: str) -> DataFrame:
                 yield made
         writer.close()
 
-    return blocks.select(*PLACE, "late", "chunks").mapInPandas(run, PIECES)
+    return dealt(blocks.select(*PLACE, "late", "chunks")).mapInPandas(run, PIECES)
 
 
 def joined_chain(folder: str):
