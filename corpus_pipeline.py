@@ -15,25 +15,41 @@ from seqlab.llm import mixture_packing, pii_surrogates, quality_network, simhash
 from seqlab.llm.common import stored, table
 
 KEY = "corpus-surrogates"  # a deployment sets its own secret
+# Rows and bytes of the batches Python tasks get: whole texts, so far fewer rows than Spark's default of 10,000.
+BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the batches of texts, unless the session has bounds of its own."""
+    names = {"maxRecordsPerBatch": ("10000", BATCH_ROWS), "maxBytesPerBatch": (None, BATCH_BYTES)}
+    for name, (default, value) in names.items():
+        key = f"spark.sql.execution.arrow.{name}"
+        if spark.conf.get(key, None) in (None, default, "-1", str((1 << 63) - 1), str((1 << 31) - 1)):
+            spark.conf.set(key, str(value))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return quality_network.kept(docs, table(spark, sf_dir, "labels"), quality_network.fold("doc_id") % 5 != 0)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return simhash_tiles.keep_one(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return suffix_radix.without_repeats(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return pii_surrogates.replaced(docs, KEY).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return mixture_packing.pack(docs, mixture_packing.public_vocabulary())
 
 
