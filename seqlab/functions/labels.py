@@ -45,7 +45,7 @@ def families_in_label(label: Column) -> Column:
     specific = F.array_compact(
         F.array(*[F.when(matches(f), F.lit(f)) for f in V.FAMILIES if f != V.TROJAN])
     )
-    generic = label.rlike("(?i)(?:" + "|".join(V.GENERIC_TROJAN_PATTERNS) + ")")
+    generic = label.rlike("(?i)(?:" + V.GENERIC_TROJAN_PATTERN + ")")
     alone = F.when(matches(V.TROJAN) & ~generic, F.array(F.lit(V.TROJAN))).otherwise(F.array().cast("array<string>"))
     usable = label.isNotNull() & (label != "")
     return F.when(usable, F.when(F.size(specific) > 0, specific).otherwise(alone)).otherwise(
