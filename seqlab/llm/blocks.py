@@ -23,13 +23,12 @@ def text_bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "replace")
 
 
-def write_blocks(docs: DataFrame, folder: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Write (doc_id, text[, extra]) rows; return (block, file, n_docs, n_bytes), one row per block.
+def write_blocks(docs: DataFrame, folder: str, block_bytes: int = BLOCK_BYTES, extra: str | None = None) -> DataFrame:
+    """Write (doc_id, text) rows; return (block, file, n_docs, n_bytes), one row per block.
 
-    ``extra`` is a string that goes with its row.
+    ``extra`` names a string column that goes with its row; other columns are ignored.
     """
-    if "extra" not in docs.columns:
-        docs = docs.withColumn("extra", F.lit(""))
+    docs = docs.select("doc_id", "text", (F.col(extra) if extra else F.lit("")).alias("extra"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
@@ -37,27 +36,27 @@ def write_blocks(docs: DataFrame, folder: str, block_bytes: int = BLOCK_BYTES) -
         fs, base = open_fs(folder)
         fs.create_dir(base, recursive=True)
         part, no = TaskContext.get().partitionId(), 0
-        ids, texts, extra, size = [], [], [], 0
+        ids, texts, more, size = [], [], [], 0
 
         def flush() -> pd.DataFrame:
-            nonlocal ids, texts, extra, size, no
+            nonlocal ids, texts, more, size, no
             name = f"{uuid.uuid4().hex}.block"
             known = np.array([not pd.isna(i) for i in ids], np.uint8)
             head = np.array([len(ids)], np.int64).tobytes() + known.tobytes()
             head += np.array([0 if pd.isna(i) else int(i) for i in ids], np.int64).tobytes()
-            head += np.array([len(t) for t in texts], np.int64).tobytes() + np.array([len(t) for t in extra], np.int64).tobytes()
-            data = zstandard.ZstdCompressor(level=1).compress(head + b"".join(texts) + b"".join(extra))
+            head += np.array([len(t) for t in texts], np.int64).tobytes() + np.array([len(t) for t in more], np.int64).tobytes()
+            data = zstandard.ZstdCompressor(level=1).compress(head + b"".join(texts) + b"".join(more))
             with fs.open_output_stream(f"{base}/{name}", compression=None) as out:
                 out.write(data)
             row = pd.DataFrame({"block": [(part << 24) + no], "file": [name], "n_docs": [len(ids)], "n_bytes": [size]})
-            ids, texts, extra, size, no = [], [], [], 0, no + 1
+            ids, texts, more, size, no = [], [], [], 0, no + 1
             return row
 
         for f in frames:
             for i, t, e in zip(f["doc_id"].astype("Int64"), f["text"], f["extra"]):
                 ids.append(i)
                 texts.append(text_bytes(t))
-                extra.append(text_bytes(e))
+                more.append(text_bytes(e))
                 size += len(texts[-1])
                 if size >= block_bytes:
                     yield flush()

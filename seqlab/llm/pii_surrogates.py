@@ -223,7 +223,8 @@ def replaced(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     pieces = F.split("body", PATTERN, -1)
     new = F.array_join(F.flatten(F.zip_with(pieces, F.col("out"), lambda p, o: F.array(p, F.coalesce(o, F.lit(""))))), "")
     joined = salted_join(hits, checkpointed(by_text), "sha", "copies", F.xxhash64("row"), "inner")
-    changed = joined.select("row.*", new.alias("_new"), F.size("out").alias("n_replaced")).drop(text).withColumnRenamed("_new", text)
+    others = [F.col("row")[c].alias(c) for c in keep if c != text]
+    changed = joined.select(*others, new.alias(text), F.size("out").alias("n_replaced"))
     out = rows.where(~F.coalesce(found, F.lit(False))).withColumn("n_replaced", F.lit(0)).unionByName(changed)
     if "n_chars" in keep:
         out = out.withColumn("n_chars", F.coalesce(F.length(text).cast(docs.schema["n_chars"].dataType), "n_chars"))

@@ -328,11 +328,11 @@ def _marked(folder: str, length: int, bits: int):
     return run
 
 
-def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def repeats(docs: DataFrame, length: int = LENGTH, extra: str | None = None) -> DataFrame:
     """(doc_id, n_bytes, starts, ends, kept, extra) for every row: the maximal removed byte runs, and what is left."""
     spark = docs.sparkSession
     folder = scratch_path(spark, "suffix-blocks")
-    blocks = write_blocks(docs, folder)
+    blocks = write_blocks(docs, folder, extra=extra)
     size = blocks.agg(F.sum("n_bytes").alias("n"), F.count(F.lit(1)).alias("blocks")).first()
     total, tasks = size["n"] or 0, max(1, size["blocks"])  # a task per block: rows here stand for much work
     bits = max(LEAST_BITS, int(total // BUCKET_BYTES).bit_length())
@@ -355,7 +355,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     types = docs.select(*rest).schema
-    found = repeats(docs.select("doc_id", "text", F.to_json(F.struct(*rest)).alias("extra")) if rest else docs, length)
+    packed = docs.select("doc_id", "text", F.to_json(F.struct(*rest)).alias("extra")) if rest else docs
+    found = repeats(packed, length, "extra" if rest else None)
     back = found.withColumn("r", F.from_json("extra", types)) if rest else found
     decoded = F.pandas_udf(lambda kept: kept.map(lambda b: b.decode("utf-8", "ignore")), "string")
     out = back.select("doc_id", decoded("kept").alias("text"), *[F.col(f"r.{c}").alias(c) for c in rest])
