@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seqlab import runtime
 from seqlab.catalog.labels import (
-    _LABELLED, _TRACES, _VOTES, _family_documents, _labelled, _primary_sql, stored_responses, trace_documents,
+    _LABELLED, _NAMES, _SQL_FAMILY, _TRACES, _VOTES, _family_documents, _labelled, _primary_sql, stored_responses, trace_documents,
 )
 from seqlab.catalog.registry import DOCS, PAGES, joined, query, sql_joined
 from seqlab.operators import labels as lab
@@ -133,6 +133,45 @@ def s8(spark, d):
     return lab.primary_labels(readers.read_label_documents(spark, path, per_line=True))
 
 
+# four files of one object each, a family's reports in one list; ranges of 64 KB, so that lists run over many of them
+@query("S8_label_objects", f"""SELECT o_custkey || '.json' AS fname,
+  arg_max({_SQL_FAMILY}, (o_custkey % 4, cast(left(o_orderpriority, 1) AS int), o_orderkey)) AS family FROM orders WHERE o_orderpriority <> '3-MEDIUM' GROUP BY 1""")
+def s8_objects(spark, d):
+    path = runtime.scratch_path(spark, "label-objects")
+    orders = src.table(spark, d, "orders").select(
+        (F.col("o_custkey") % 4).alias("f"), F.substring("o_orderpriority", 1, 1).cast("int").alias("p"), "o_orderkey", "o_custkey", "o_orderpriority"
+    )
+    element = F.concat(F.lit(',  {"report" : "'), F.col("o_custkey").cast("string"), F.lit('.json", "note": "] } \\" , {"}'))
+    names = F.create_map(*[F.lit(x) for pair in _NAMES.items() for x in pair])
+    head = F.concat(F.lit(',\n"'), names[F.col("o_orderpriority")], F.lit('": {"n_reports": 9, "reports": [{"report": "none.json"}'))
+    ends = orders.select("f", "p", "o_orderpriority").distinct()
+    low, high = F.lit(-1).cast("long"), F.lit(2**62).cast("long")
+    lines = orders.select("f", "p", F.col("o_orderkey").alias("k"), element.alias("value"))
+    lines = lines.unionByName(ends.select("f", "p", low.alias("k"), head.alias("value"))).unionByName(ends.select("f", "p", high.alias("k"), F.lit("]}").alias("value")))
+    for p, mark in ((0, '{"n_reports": 10'), (9, "}")):
+        lines = lines.unionByName(orders.select("f", F.lit(p).alias("p"), low.alias("k"), F.lit(mark).alias("value")).distinct())
+    lines.repartition(4, "f").sortWithinPartitions("f", "p", "k").select("f", "value").write.partitionBy("f").text(path)
+    return lab.primary_labels(readers.read_label_documents(spark, path, split_bytes=1 << 16)).where("fname <> 'none.json'")
+
+
+@query("S9_report_maps", f"""WITH {_VOTES}, c AS (SELECT c_custkey AS hash FROM customer) SELECT cast(c.hash AS varchar) AS hash, fv.family FROM c LEFT JOIN fv ON fv.hash = c.hash""")
+def s9_maps(spark, d):
+    path = runtime.scratch_path(spark, "report-maps")
+    asked = src.table(spark, d, "customer").select(F.col("c_custkey").alias("hash"))
+    # a response lists the engines of a hash in one map
+    listed = F.map_from_entries(F.sort_array(F.collect_list(F.struct("engine", F.struct(F.lit("malicious").alias("category"), "result")))))
+    body = F.struct(F.struct(F.struct(F.col("r").alias("last_analysis_results")).alias("attributes")).alias("data"))
+    stored = src.reports(spark, d).groupBy("hash").agg(listed.alias("r")).select("hash", F.to_json(body).alias("response"))
+    entry = F.concat(F.lit(', "'), F.col("hash").cast("string"), F.lit('": '), F.coalesce("response", F.lit("null")))
+    lines = asked.join(stored, "hash", "left").select((F.col("hash") % 4).alias("f"), F.lit(1).alias("p"), entry.alias("value"))
+    for p, mark in ((0, '{"": null'), (2, "}")):
+        lines = lines.unionByName(lines.select("f", F.lit(p).alias("p"), F.lit(mark).alias("value")).distinct())
+    lines.repartition(4, "f").sortWithinPartitions("f", "p").select("f", "value").write.partitionBy("f").text(path)
+    back = readers.read_report_map(spark, path, split_bytes=1 << 16)
+    keys = asked.select(F.col("hash").cast("string").alias("hash"))
+    return keys.join(vote.vote_family(vote.report_rows(back)), "hash", "left").select("hash", "family")
+
+
 @query("S9_stored_reports", f"""WITH {_VOTES}, c AS (SELECT c_custkey AS hash FROM customer) SELECT cast(c.hash AS varchar) AS hash, fv.family FROM c LEFT JOIN fv ON fv.hash = c.hash""")
 def s9(spark, d):
     path = runtime.scratch_path(spark, "reports")

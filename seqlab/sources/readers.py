@@ -10,6 +10,7 @@ from seqlab import fixed_values as V
 from seqlab.functions.cleaning import bare_name, split_tokens, truncate
 from seqlab.functions.encoding import decode_codes
 from seqlab.operators.skew import number_within
+from seqlab.sources.json_ranges import SPLIT_BYTES, json_items
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -128,11 +129,23 @@ def read_trace_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_label_documents(spark: SparkSession, path: str, per_line: bool = False) -> DataFrame:
-    """(doc, value): JSON label documents, one per file or one per line; ``doc`` rises in path or line order."""
+def read_label_documents(spark: SparkSession, path: str, per_line: bool = False, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """(doc, value): JSON label documents; ``doc`` rises in path or line order.
+
+    Files hold one JSON document per line, or one object ``{family: {"reports": [..]}}`` each. Of an object every
+    report becomes a document of its own, so a file, or a family in it, is read by many tasks.
+    """
     if per_line:
         return numbered_lines(spark, path).select(F.col("line_no").alias("doc"), "value")
-    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("doc"), "value")
+    found = json_items(spark, path, 3, split_bytes).where(F.col("key").isNotNull() & (F.col("field") == '"reports"'))
+    text = F.concat(F.lit("{"), "key", F.lit(': {"reports": ['), "body", F.lit("]}}"))
+    return found.select(F.struct("file", "at").alias("doc"), text.alias("value"))
+
+
+def read_entry_documents(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """(doc, value): every entry of hash-keyed JSON objects as a document of its own; ``doc`` rises in path and file order."""
+    found = json_items(spark, path, 1, split_bytes)
+    return found.select(F.struct("file", "at").alias("doc"), F.concat(F.lit("{"), "body", F.lit("}")).alias("value"))
 
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
@@ -153,9 +166,11 @@ def read_reports(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("_last", last).where(save == F.col("_last")).select("hash", "response")
 
 
-def read_report_map(spark: SparkSession, path: str) -> DataFrame:
-    """(hash, response) from JSON objects ``{hash: response or null}``; text that
-    is not JSON gives no rows."""
-    docs = spark.read.text(path, wholetext=True)
-    entries = docs.select(F.explode(F.from_json("value", "map<string,string>")).alias("hash", "response"))
-    return entries.select("hash", "response")
+def read_report_map(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """(hash, response) from JSON objects ``{hash: response or null}``, a hash's last entry in path and file order.
+
+    A file that is not one JSON object gives no rows; see ``json_ranges.json_items``.
+    """
+    docs = read_entry_documents(spark, path, split_bytes)
+    entries = docs.select("doc", F.explode(F.from_json("value", "map<string,string>")).alias("hash", "response"))
+    return entries.groupBy("hash").agg(F.max_by("response", "doc").alias("response"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from seqlab.operators import labels as lab
 from seqlab.operators import traces
 from seqlab.sources import readers, writers
+from seqlab.sources.json_ranges import json_items
 
 EXTRACTED = [
     ("h1", "redline", "Spyware", "", "ntclose ntopen"), ("h2", "noon", "Spyware", "Trojan", "a b c"), ("h3", "amadey", "Downloader", "Trojan,Spyware", "a"),
@@ -118,6 +119,38 @@ def test_reports_store(spark, tmp_path):
     assert readers.read_report_map(spark, str(tmp_path / "broken.json")).count() == 0
 
 
+@pytest.mark.parametrize("split", [5, 64, 1 << 20])
+def test_objects_in_ranges(spark, tmp_path, split):
+    """Any range size gives the entries that the whole object has."""
+    tricky = {"a\\": 'x \\" ,{', 'q"k': {"d": [1, {"e": "}]"}], "u": "\u00e9\u4e2d"}, "": [], "n": None, "e": {}, "t": "\\\\"}
+    folder = tmp_path / "maps"
+    folder.mkdir()
+    (folder / "a.json").write_text(json.dumps(tricky, indent=1, ensure_ascii=False))
+    (folder / "b.json").write_text(json.dumps({"n": 5, "z": "last"}))
+    for name, text in (("c", ""), ("d", " { } "), ("e", '{"a": 1,}'), ("f", '{"a": tru}'), ("g", '[{"a": 1}]'), ("h", '{"a": "}')):
+        (folder / f"{name}.json").write_text(text)
+    items = json_items(spark, str(folder), 1, split).orderBy("file", "at").collect()
+    assert [json.loads("{%s}" % r["body"]) for r in items] == [{k: v} for k, v in tricky.items()] + [{"n": 5}, {"z": "last"}]
+    back = {r["hash"]: r["response"] for r in readers.read_report_map(spark, str(folder), split).collect()}
+    assert set(back) == {*tricky, "z"} and back["n"] == "5" and back["e"] == "{}" and back["t"] == "\\\\"
+
+
+@pytest.mark.parametrize("split", [9, 1 << 20])
+def test_label_lists_in_ranges(spark, tmp_path, split):
+    """A list's elements keep their family in whichever range they begin; other shapes in the file add nothing."""
+    reports = [{"report": f"{i}.json", "note": "]}, {["} for i in range(40)]
+    files = {
+        "a": {"n": 3, "Fam \"x\"": {"n": 40, "reports": reports, "other": [{"report": "no.json"}]}, "list": [[{"report": "no.json"}], {"reports": 1}], "Empty": {"reports": []}},
+        "b": {"Late": {"reports": [{"report": "3.json"}, {"report": "z.json"}]}, "map": {"reports": {"report": "no.json"}}},
+    }
+    folder = tmp_path / "labels"
+    folder.mkdir()
+    for name, value in files.items():
+        (folder / f"{name}.json").write_text(json.dumps(value))
+    found = {r["fname"]: r["family"] for r in lab.primary_labels(readers.read_label_documents(spark, str(folder), split_bytes=split)).collect()}
+    assert found == {**{f"{i}.json": 'fam "x"' for i in range(40)}, "3.json": "late", "z.json": "late"}
+
+
 def test_label_report(spark, tmp_path):
     df = spark.createDataFrame([("a", "Worms", "labelled", "Worms"), ("b", None, "dropped", None), ("c", "Benign", "benign", None)], "hash string, label string, status string, family string")
     writers.write_label_report(df, str(tmp_path / "r"))
