@@ -189,6 +189,14 @@ def m12(spark, d):
     return _facts(preds.withColumnRenamed("y_true", "y"), ["dataset", "model"])
 
 
+@query("M12_suite_comparison")
+def m12_comparison(spark, d):
+    """Scores with AUC of every model of the suite; the trees have no SQL form."""
+    models, test = _models(spark, d)
+    preds = runtime.pin(scoring.model_suite(splits.index_labels(test, models.classes), models, "documents"))
+    return metrics.comparison(preds, models.classes, ["dataset", "model"])
+
+
 def _linear(spark, d):
     rows, _ = _engineered(spark, d)
     train = rows.where("split = 'train'")

@@ -106,6 +106,39 @@ def g6a(spark, d):
     return _round(m.roc_auc_averages(m.roc_auc(src.embed_predictions(spark, d), 10)), "roc_auc_macro", "roc_auc_weighted")
 
 
+# two models on two datasets, one of them with two thirds of the rows
+_GROUPED = f"""WITH {EMBED}, {CLS10}, gp AS (SELECT 'first' AS model, CASE WHEN vec_id % 3 = 0 THEN 'b' ELSE 'a' END AS dataset, y_true, y_pred, probs FROM pe
+  UNION ALL SELECT 'second', CASE WHEN vec_id % 3 = 0 THEN 'b' ELSE 'a' END, y_true, list_position(p_second, list_max(p_second)) - 1, p_second FROM pe),
+x AS (SELECT dataset, model, unnest(range(10)) AS class_idx, unnest(probs) AS p, y_true FROM gp),
+g AS (SELECT dataset, model, class_idx, p, count(*) FILTER (WHERE y_true = class_idx) AS pos, count(*) FILTER (WHERE y_true <> class_idx) AS neg FROM x GROUP BY ALL),
+c AS (SELECT *, sum(neg) OVER (PARTITION BY dataset, model, class_idx ORDER BY p) - neg AS below FROM g),
+auc AS (SELECT dataset, model, class_idx, sum(pos)::bigint AS support, sum(pos * (below + neg / 2.0)) / nullif(sum(pos)::double * sum(neg), 0) AS auc FROM c GROUP BY ALL)"""
+
+
+def _grouped_predictions(spark, d):
+    rows = src.embed_predictions(spark, d).withColumn("dataset", F.when(F.col("sample_id").cast("long") % 3 == 0, "b").otherwise("a"))
+    first = rows.select("dataset", F.lit("first").alias("model"), "y_true", "y_pred", "probs")
+    return first.unionByName(rows.select("dataset", F.lit("second").alias("model"), "y_true", argmax(F.col("p_second")).alias("y_pred"), F.col("p_second").alias("probs")))
+
+
+@query("G6_roc_auc_by_model", f"{_GROUPED} SELECT dataset, model, class_idx, support, {sql_r6('auc')} AS auc FROM auc")
+def g6_groups(spark, d):
+    return _round(m.roc_auc(_grouped_predictions(spark, d), 10, ["dataset", "model"]), "auc")
+
+
+@query("G14_model_comparison_auc", f"""{_GROUPED}, {_pc_sql('gp', 'dataset, model')}, sm AS ({_averages('dataset, model')}),
+av AS (SELECT dataset, model, CASE WHEN count(auc) = count(*) THEN {sql_r6('avg(auc)')} END AS roc_auc_macro,
+  CASE WHEN count(auc) = count(*) THEN {sql_r6('sum(auc * support) / sum(support)')} END AS roc_auc_weighted FROM auc GROUP BY ALL) SELECT * FROM sm JOIN av USING (dataset, model)""")
+def g14_auc(spark, d):
+    rows = m.comparison(_grouped_predictions(spark, d), _classes(spark, 10), ["dataset", "model"])
+    return _round(rows, "accuracy", "macro_f1", "macro_f1_all_classes", "weighted_f1", "roc_auc_macro", "roc_auc_weighted")
+
+
+@query("G14_model_confusion", f"{_GROUPED} SELECT dataset, model, y_true, y_pred, count(*) AS n FROM gp GROUP BY ALL")
+def g14_confusion(spark, d):
+    return m.confusion_counts(_grouped_predictions(spark, d), ["dataset", "model"])
+
+
 @query("G7_roc_points", f"""WITH {EMBED}, x AS (SELECT unnest(range(10)) AS class_idx, unnest(probs) AS p, y_true FROM pe),
 g AS (SELECT class_idx, p, count(*) FILTER (WHERE y_true = class_idx) AS pos, count(*) FILTER (WHERE y_true <> class_idx) AS neg FROM x GROUP BY ALL),
 c AS (SELECT class_idx, p, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PARTITION BY class_idx) AS tpos, sum(neg) OVER (PARTITION BY class_idx) AS tneg

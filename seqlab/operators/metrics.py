@@ -99,8 +99,8 @@ def restricted(preds: DataFrame, present: DataFrame, classes: DataFrame) -> Data
 
 
 # ---- ROC -------------------------------------------------------------------
-def _score_counts(preds: DataFrame, n_classes: int) -> DataFrame:
-    """(class_idx, score, pos, neg): equal scores of a class counted together."""
+def _score_counts(preds: DataFrame, n_classes: int, by: list[str]) -> DataFrame:
+    """(by.., class_idx, score, pos, neg): equal scores of a class counted together."""
     scores = F.array(
         *[
             F.struct(
@@ -110,47 +110,56 @@ def _score_counts(preds: DataFrame, n_classes: int) -> DataFrame:
             for c in range(n_classes)
         ]
     )
-    return preds.select(F.inline(scores)).groupBy("class_idx", "score").agg(
+    return preds.select(*by, F.inline(scores)).groupBy(*by, "class_idx", "score").agg(
         F.sum("hit").alias("pos"), F.sum(1 - F.col("hit")).alias("neg")
     )
 
 
-def _cumulated(preds: DataFrame, n_classes: int, descending: bool) -> DataFrame:
-    counts = _score_counts(preds, n_classes)
+def _cumulated(preds: DataFrame, n_classes: int, descending: bool, by: list[str]) -> DataFrame:
+    counts = _score_counts(preds, n_classes, by)
     order = -F.col("score") if descending else F.col("score")
     flat = preds.select(F.explode("probs").alias("score"))
     bucket = quantile_bucket(flat, order)
-    return prefix_sums(counts, ["class_idx"], [order], bucket, {"pos_before": F.col("pos"), "neg_before": F.col("neg")})
+    return prefix_sums(counts, [*by, "class_idx"], [order], bucket, {"pos_before": F.col("pos"), "neg_before": F.col("neg")})
 
 
-def roc_auc(preds: DataFrame, n_classes: int) -> DataFrame:
-    """(class_idx, support, auc) one-vs-rest; null without both outcomes.
+def roc_auc(preds: DataFrame, n_classes: int, by: list[str] | None = None) -> DataFrame:
+    """(by.., class_idx, support, auc) one-vs-rest per group; null without both outcomes.
 
     Counts of pairs ranked right, ties one half. Scores are cumulated in
-    bounded score ranges, never in one window per class.
+    bounded score ranges, never in one window per class. A range holds a fixed
+    share of the scores of all groups together, so of a hot group no more.
+    Groups must not be null.
     """
-    ranked = _cumulated(preds, n_classes, descending=False)
-    sums = ranked.groupBy("class_idx").agg(
+    keys = [*(by or []), "class_idx"]
+    ranked = _cumulated(preds, n_classes, False, by or [])
+    sums = ranked.groupBy(*keys).agg(
         F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2)).alias("_wins"),
         F.sum("pos").alias("support"), F.sum("neg").alias("_neg"),
     )
     return sums.select(
-        "class_idx", "support", F.try_divide("_wins", F.col("support").cast("double") * F.col("_neg")).alias("auc")
+        *keys, "support", F.try_divide("_wins", F.col("support").cast("double") * F.col("_neg")).alias("auc")
     )
 
 
-def roc_auc_averages(auc: DataFrame) -> DataFrame:
-    """Macro and support-weighted AUC; null when any class has none."""
+def roc_auc_averages(auc: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Macro and support-weighted AUC per group; null when any class has none."""
     complete = F.count("auc") == F.count("*")
     weighted = F.try_divide(F.sum(F.col("auc") * F.col("support")), F.sum("support").cast("double"))
-    return auc.agg(
+    return auc.groupBy(*(by or [])).agg(
         F.when(complete, F.avg("auc")).alias("roc_auc_macro"), F.when(complete, weighted).alias("roc_auc_weighted")
     )
 
 
+def comparison(preds: DataFrame, classes: DataFrame, by: list[str]) -> DataFrame:
+    """``summary`` with the AUC averages: one row per group, such as (dataset, model)."""
+    auc = roc_auc_averages(roc_auc(preds, classes.count(), by), by)
+    return summary(preds, classes, by).join(runtime.small_table(auc), by, "left")
+
+
 def roc_points(preds: DataFrame, n_classes: int) -> DataFrame:
     """(class_idx, threshold, fpr, tpr) at every distinct score."""
-    ranked = _cumulated(preds, n_classes, descending=True)
+    ranked = _cumulated(preds, n_classes, True, [])
     totals = runtime.small_table(ranked.groupBy("class_idx").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n")))
     return ranked.join(totals, "class_idx").select(
         "class_idx", F.col("score").alias("threshold"),

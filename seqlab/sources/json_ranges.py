@@ -105,7 +105,7 @@ def _cut(level: int):
                             open_ends = [x for x in cut[1] if not x[2]]
                         else:  # of outer items only the name is needed
                             open_ends = [x for x in cut[level] if not x[2]] + [
-                                x for n in (1, 2) for x in cut[n] if not x[2] and not _name(data, x, found, n)
+                                x for n in (1, 2) for x in cut[n] if not x[2] and _name(data, x, found, n) is None
                             ]
                         if not open_ends or at + len(data) >= total:
                             break
