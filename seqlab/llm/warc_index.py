@@ -32,12 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqlab.llm.common import checkpointed, open_fs, salted_join
-from seqlab.runtime import scratch_path
+from seqlab.runtime import scratch_path, shuffle_width
 
 LINES = 300
 FILE_BYTES = 128 << 20
 MERGE_GAP = 64 << 10
 READ_BYTES = 4 << 20
+TASK_BYTES = 64 << 20
 BLANK = b"\r\n\r\n"
 
 
@@ -220,7 +221,9 @@ def lookup(keys: DataFrame, index: DataFrame, folder: str) -> DataFrame:
             handle.close()
 
     placed = keys.select("key").where("key IS NOT NULL").distinct().mapInPandas(place, "key string, part int")
-    dealt = placed.repartitionByRange("part", "key").sortWithinPartitions("part", "key")
+    # a task per index part at least: its rows stand for blocks to read, and Spark would join tasks by the bytes of rows
+    tasks = max(len(parts), shuffle_width(keys.sparkSession))
+    dealt = placed.repartitionByRange(tasks, "part", "key").sortWithinPartitions("part", "key")
     return dealt.mapInPandas(run, "key string, file string, offset long, length long")
 
 
@@ -249,7 +252,10 @@ def read_records(places: DataFrame, folder: str, payloads: bool = True) -> DataF
             got = pd.DataFrame(out, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload"])
             yield got.assign(refers_to=got["refers_to"].astype("Int64"))
 
-    dealt = places.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    # ``places`` is read twice; tasks by the bytes of the records, not of the rows that name them
+    total = places.agg(F.sum("length")).first()[0] or 0
+    tasks = max(shuffle_width(places.sparkSession), int(total // TASK_BYTES) + 1)
+    dealt = places.select("file", "offset", "length").repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary"
     return dealt.mapInPandas(run, schema)
 
