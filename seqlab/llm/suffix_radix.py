@@ -10,7 +10,9 @@ anchor; equal windows have equal anchors at equal places, so they meet in the an
 windows of one anchor travel as one stretch of text. First only anchor hashes are exchanged, once per block
 of documents, and anchors seen in one document alone leave. Then the stretches of the others are exchanged,
 each distinct stretch once per block, and sorted in their bucket. A stretch all documents share is one row
-per block, so a common passage or a large group of copies loads no task with its documents. The answers
+per block, so a common passage or a large group of copies loads no task with its documents. At a common
+passage's edges every document has a stretch of its own, though: anchors with more than HOT places in all are
+cut into single windows, which are dealt by a hash of the whole window, each distinct one once per block. The answers
 (the smallest doc_id per window) go back to the blocks, which mark the bytes. Comparisons are of bytes.
 
 Defined cases: null and empty texts have no bytes and nothing removed; texts shorter than LENGTH keep all;
@@ -33,6 +35,8 @@ LENGTH = 50
 SEGMENT = 1 << 20
 BUCKET_BYTES = 16 << 20
 LEAST_BITS = 7
+HOT = 1 << 14  # places of an anchor; its stretches are some MB then
+SEVERAL = 128
 LAST = np.iinfo(np.int64).max
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
@@ -120,7 +124,8 @@ def order_of(block: Block) -> np.ndarray:
 
 
 def _offered(folder: str, length: int, bits: int):
-    """A block's distinct anchor hashes by bucket, with whether several of its documents have them."""
+    """A block's distinct anchor hashes by bucket; a byte each says whether several of its documents have it (SEVERAL),
+    and the power of two that its places don't exceed."""
 
     def run(frames):
         for f in frames:
@@ -133,50 +138,84 @@ def _offered(folder: str, length: int, bits: int):
                 h, ids = a["hash"][order], order_of(block)[a["doc"][order]]
                 cut = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
                 several = np.minimum.reduceat(ids, cut) != np.maximum.reduceat(ids, cut)
+                places = np.ceil(np.log2(np.diff(np.append(cut, len(h))))).astype(np.uint8)
+                note = places + SEVERAL * several.astype(np.uint8)
                 h = h[cut]
                 bucket = (h >> np.uint64(64 - bits)).astype(np.int64)
                 edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
                 ends = np.append(edges[1:], len(h))
-                blobs = [h[x:y].tobytes() + np.packbits(several[x:y]).tobytes() for x, y in zip(edges, ends)]
+                blobs = [h[x:y].tobytes() + note[x:y].tobytes() for x, y in zip(edges, ends)]
                 yield pd.DataFrame({"bucket": bucket[edges].astype(np.int32), "block": no, "file": file, "n": ends - edges, "data": blobs})
 
     return run
 
 
-def _repeated(key, f: pd.DataFrame) -> pd.DataFrame:
-    """Anchor hashes of one bucket that more than one document has, back to each block."""
-    hs = [np.frombuffer(d, np.uint64, n) for d, n in zip(f["data"], f["n"])]
-    flags = [np.unpackbits(np.frombuffer(d, np.uint8, offset=8 * n))[:n] for d, n in zip(f["data"], f["n"])]
-    h, flag = np.concatenate(hs), np.concatenate(flags).astype(bool)
-    found, at, count = np.unique(h, return_inverse=True, return_counts=True)
-    several = count > 1
-    several[at[flag]] = True
-    keep, rows, start = several[at], [], 0
-    for no, file, own in zip(f["block"], f["file"], hs):
-        kept = own[keep[start: start + len(own)]]
-        start += len(own)
-        if len(kept):
-            rows.append((key[0], no, file, kept.tobytes()))
-    return pd.DataFrame(rows, columns=["bucket", "block", "file", "data"])
+def _repeated(hot: int):
+    def run(key, f: pd.DataFrame) -> pd.DataFrame:
+        """Anchor hashes of one bucket that more than one document has, with whether they are hot, back to each block."""
+        hs = [np.frombuffer(d, np.uint64, n) for d, n in zip(f["data"], f["n"])]
+        notes = np.concatenate([np.frombuffer(d, np.uint8, offset=8 * n) for d, n in zip(f["data"], f["n"])])
+        found, at, count = np.unique(np.concatenate(hs), return_inverse=True, return_counts=True)
+        several = count > 1
+        several[at[notes >= SEVERAL]] = True
+        heat = np.bincount(at, weights=2.0 ** (notes % SEVERAL), minlength=len(found)) > hot
+        keep, many, rows, start = several[at], heat[at], [], 0
+        for no, file, own in zip(f["block"], f["file"], hs):
+            part = slice(start, start + len(own))
+            kept = own[keep[part]]
+            if len(kept):
+                rows.append((key[0], no, file, kept.tobytes() + many[part][keep[part]].tobytes()))
+            start += len(own)
+        return pd.DataFrame(rows, columns=["bucket", "block", "file", "data"])
+
+    return run
+
+
+def _wanted(blobs) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and hot flags of ``_repeated``'s rows, by hash."""
+    sizes = [len(x) // 9 for x in blobs]
+    hashes = np.concatenate([np.frombuffer(x, np.uint64, n) for x, n in zip(blobs, sizes)]) if sizes else np.zeros(0, np.uint64)
+    hot = np.concatenate([np.frombuffer(x, bool, offset=8 * n) for x, n in zip(blobs, sizes)]) if sizes else np.zeros(0, bool)
+    order = np.argsort(hashes, kind="stable")
+    return hashes[order], hot[order]
+
+
+def _window_hashes(buffer: bytes, start: np.ndarray, length: int) -> np.ndarray:
+    words = np.ndarray((max(len(buffer) - 7, 0),), "<u8", buffer, strides=(1,))
+    h = np.zeros(len(start), np.uint64)
+    for at in [*range(0, length - 8, 8), length - 8]:
+        h += words[start + at]
+        h *= _ODD[1]
+        h ^= h >> np.uint64(29)
+    return h * _ODD[2]
 
 
 class Stretches:
-    """The distinct stretches of a block's repeated anchors, by bucket in order of first place."""
+    """The distinct stretches of a block's repeated anchors, by bucket in order of first place.
+
+    Hot anchors have a stretch for every window, in the window's bucket.
+    """
 
-    def __init__(self, folder: str, file: str, hashes: np.ndarray, length: int, bits: int):
+    def __init__(self, folder: str, file: str, blobs, length: int, bits: int):
         self.block = block = Block(folder, file)
         a = anchors(block, length)
-        hashes = np.sort(hashes)
+        hashes, hot = _wanted(blobs)
         if len(hashes):
             near = np.minimum(np.searchsorted(hashes, a["hash"]), len(hashes) - 1)
             keep = hashes[near] == a["hash"]
+            hot = hot[near] & keep
         else:
-            keep = np.zeros(len(a["at"]), bool)
-        order = np.flatnonzero(keep)
-        bucket = (a["hash"][order] >> np.uint64(64 - bits)).astype(np.int64)
-        order = order[np.argsort(bucket, kind="stable")]
-        self.lo, self.hi, self.doc, at = (a[x][order] for x in ("lo", "hi", "doc", "at"))
-        bucket = np.sort(bucket)
+            keep = hot = np.zeros(len(a["at"]), bool)
+        even, odd = np.flatnonzero(keep & ~hot), np.flatnonzero(hot)
+        windows = a["hi"][odd] - a["lo"][odd] + 1
+        start = np.repeat(a["lo"][odd], windows) + np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+        place = np.concatenate([even, np.repeat(odd, windows)])
+        lo, hi = np.concatenate([a["lo"][even], start]), np.concatenate([a["hi"][even], start])
+        own = np.concatenate([a["hash"][even], _window_hashes(block.buffer, start, length)])
+        bucket = (own >> np.uint64(64 - bits)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        self.lo, self.hi, bucket = lo[order], hi[order], bucket[order]
+        self.doc, at = a["doc"][place[order]], a["at"][place[order]]
         number: dict[bytes, int] = {}
         buffer = block.buffer
         index = [number.setdefault(buffer[x:y], len(number)) for x, y in zip(self.lo.tolist(), (self.hi + length).tolist())]
@@ -191,7 +230,7 @@ class Stretches:
 
 def _sent(folder: str, length: int, bits: int):
     def run(key, f: pd.DataFrame) -> pd.DataFrame:
-        s = Stretches(folder, f["file"].iloc[0], np.concatenate([np.frombuffer(x, np.uint64) for x in f["data"]]), length, bits)
+        s = Stretches(folder, f["file"].iloc[0], f["data"], length, bits)
         rows = []
         edges = np.flatnonzero(np.concatenate([[True], s.bucket[1:] != s.bucket[:-1]])) if len(s.bucket) else []
         for x, y in zip(edges, np.append(edges[1:], len(s.bucket)) if len(edges) else []):
@@ -281,8 +320,7 @@ def _sorted_bucket(length: int):
 
 def _marked(folder: str, length: int, bits: int):
     def run(key, f: pd.DataFrame) -> pd.DataFrame:
-        hashes = [np.frombuffer(x, np.uint64) for x in f.loc[f["kind"] == 1, "data"]]
-        s = Stretches(folder, f["file"].iloc[0], np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), length, bits)
+        s = Stretches(folder, f["file"].iloc[0], f.loc[f["kind"] == 1, "data"], length, bits)
         block = s.block
         answers = f[f["kind"] == 2].sort_values("bucket")["data"]
         got = [unpacked(x) for x in answers]
@@ -328,7 +366,7 @@ def _marked(folder: str, length: int, bits: int):
     return run
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, extra: str | None = None) -> DataFrame:
+def repeats(docs: DataFrame, length: int = LENGTH, extra: str | None = None, hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, starts, ends, kept, extra) for every row: the maximal removed byte runs, and what is left."""
     spark = docs.sparkSession
     folder = scratch_path(spark, "suffix-blocks")
@@ -338,7 +376,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, extra: str | None = None) ->
     bits = max(LEAST_BITS, int(total // BUCKET_BYTES).bit_length())
     row = "bucket int, block long, file string, data binary"
     offered = blocks.repartition(tasks).mapInPandas(_offered(folder, length, bits), "bucket int, block long, file string, n long, data binary")
-    again = stored(offered.repartition(1 << bits, "bucket").groupBy("bucket").applyInPandas(_repeated, row), "anchors")
+    again = stored(offered.repartition(1 << bits, "bucket").groupBy("bucket").applyInPandas(_repeated(hot), row), "anchors")
     sent = again.repartition(tasks, "block").groupBy("block").applyInPandas(_sent(folder, length, bits), row)
     answers = stored(sent.repartition(1 << bits, "bucket").groupBy("bucket").applyInPandas(_sorted_bucket(length), row), "answers")
     released(spark)

@@ -48,6 +48,42 @@ def test_against_brute_force(docs, length, seed):
     assert out == brute(rows, length)
 
 
+@pytest.mark.parametrize("hot", [0, 40])
+def test_hot_anchors_are_dealt_by_window(docs, hot):
+    """Every third document has the passage, between words of its own: the same result with hot anchors cut into windows."""
+    r = random.Random(8)
+    own = lambda: " ".join(str(r.random()) for _ in range(6))
+    passage = " ".join(f"word{r.randrange(50)}" for _ in range(30))
+    rows = [(i, own() + passage + own() if i % 3 == 0 else own()) for i in range(150)] + made(5)
+    got = op.repeats(docs(rows).repartition(3), hot=hot).collect()
+    out = sorted(((r["doc_id"], r["n_bytes"], sum(r["ends"]) - sum(r["starts"]), len(r["starts"]), bytes(r["kept"])) for r in got), key=str)
+    assert out == brute(rows, 50)
+
+
+def test_no_bucket_has_all_stretches_of_a_hot_anchor(tmp_path):
+    """Stretches of one block at a passage's edges: in one bucket by anchor, spread when the anchor is hot."""
+    import numpy as np
+    r = random.Random(9)
+    passage = " ".join(f"word{r.randrange(50)}" for _ in range(12))
+    texts = [str(r.random()) + passage + str(r.random()) for _ in range(400)]
+
+    class Fake:
+        buffer = "".join(texts).encode()
+        ids, known = np.arange(400), np.ones(400, bool)
+        starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+
+    kept, op.Block = op.Block, lambda folder, file: Fake()
+    try:
+        hashes = np.unique(op.anchors(Fake, 50)["hash"])
+        most = {}
+        for hot in (False, True):
+            s = op.Stretches("", "", [hashes.tobytes() + np.full(len(hashes), hot).tobytes()], 50, 7)
+            most[hot] = np.bincount(s.bucket).max() / len(s.bucket)
+    finally:
+        op.Block = kept
+    assert most[False] > 0.2 and most[True] < 0.05
+
+
 def test_equal_windows_have_equal_anchors():
     class Fake:
         pass
