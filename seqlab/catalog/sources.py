@@ -14,6 +14,7 @@ from seqlab.operators import labels as lab
 from seqlab.operators import traces, vote
 from seqlab.sources import adapters as src
 from seqlab.sources import readers, writers
+from seqlab.streaming import ingest
 
 
 def _extracted_rows(spark, d):
@@ -112,17 +113,18 @@ def s6(spark, d):
     return spark.read.text(f"{base}/l").groupBy(F.col("value").alias("label")).agg(F.count("*").alias("n"))
 
 
+def _folder(path):
+    """The report's name, kept as the name of its folder."""
+    return F.regexp_extract(path, r"fname=([^/]+)/", 1)
+
+
 @query("S7_trace_files", f"WITH {_TRACES} SELECT fname, status, CASE WHEN status = 'ok' THEN len(tags) ELSE 0 END AS n FROM tr")
 def s7(spark, d):
     path = runtime.scratch_path(spark, "traces")
     docs = trace_documents(spark, d)
     # one document per file, as sandboxes store them
     docs.select("fname", F.col("text").alias("value")).write.partitionBy("fname").text(path)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    texts = files.select(
-        F.regexp_extract("path", r"fname=([^/]+)/", 1).alias("fname"), F.make_valid_utf8(F.col("content").cast("string")).alias("text")
-    )
-    return traces.parse_traces(texts).select("fname", "status", F.col("sequence_length").alias("n"))
+    return traces.parse_traces(readers.read_trace_files(spark, path, _folder)).select("fname", "status", F.col("sequence_length").alias("n"))
 
 
 @query("S8_label_files", _primary_sql(False))
@@ -207,3 +209,35 @@ def s13(spark, d):
     for share in (docs.where("page_id % 3 = 0"), docs):  # the second run only adds what is missing
         stored = writers.append_new(traces.parse_traces(share).select("fname", F.col("sequence_length").alias("n")), path, "fname")
     return stored.select("fname", "n")
+
+
+def _ingest_twice(spark, d):
+    """A store filled by two runs, the second after the other files arrived; and the last batch of the first run."""
+    base = runtime.scratch_path(spark, "stream-ingest")
+    docs = trace_documents(spark, d)
+    last = -1
+    for i, share in enumerate((docs.where("page_id % 3 = 0"), docs.where("page_id % 3 <> 0"))):
+        share.select("fname", F.col("text").alias("value")).write.mode("append").partitionBy("fname").text(f"{base}/files")
+        files = ingest.stream_trace_files(spark, f"{base}/files", _folder)
+        ingest.ingest_traces(files, f"{base}/store", f"{base}/log").awaitTermination()
+        if i == 0:
+            last = ingest.ingest_counts(spark, f"{base}/store").agg(F.max("batch")).first()[0]
+    return f"{base}/store", last
+
+
+@query("S13_file_ingest", f"""WITH {_TRACES} SELECT fname, status, CASE WHEN status = 'ok' THEN array_to_string(tags, ' ') ELSE '' END AS seq,
+  CASE WHEN page_id % 3 = 0 THEN 1 ELSE 2 END AS run FROM tr""")
+def s13_files(spark, d):
+    store, last = _ingest_twice(spark, d)
+    run = F.when(F.col("batch") <= last, 1).otherwise(2)
+    return ingest.ingested(spark, store).select("fname", "status", joined("sequence").alias("seq"), run.alias("run"))
+
+
+@query("A9_ingest_counts", f"""WITH {_TRACES} SELECT CASE WHEN page_id % 3 = 0 THEN 1 ELSE 2 END AS run, count(*) AS files,
+  count(*) FILTER (status = 'ok') AS ok, count(*) FILTER (status = 'empty') AS empty, count(*) FILTER (status = 'unparsed') AS unparsed,
+  coalesce(sum(len(tags)) FILTER (status = 'ok'), 0)::bigint AS calls FROM tr GROUP BY 1""")
+def a9_ingest(spark, d):
+    store, last = _ingest_twice(spark, d)
+    run = F.when(F.col("batch") <= last, 1).otherwise(2)
+    totals = [F.sum(c).alias(c) for c in ("files", "ok", "empty", "unparsed", "calls")]
+    return ingest.ingest_counts(spark, store).groupBy(run.alias("run")).agg(*totals)

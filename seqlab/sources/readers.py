@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -121,11 +123,11 @@ def read_extracted(
     )
 
 
-def read_trace_files(spark: SparkSession, path: str) -> DataFrame:
-    """(fname, text): one JSON document per file, invalid UTF-8 replaced."""
+def read_trace_files(spark: SparkSession, path: str, name: Callable[[Column], Column] = bare_name) -> DataFrame:
+    """(fname, text): one JSON document per file, invalid UTF-8 replaced. ``name`` takes the report's name from the path."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select(
-        bare_name(F.col("path")).alias("fname"), F.make_valid_utf8(F.col("content").cast("string")).alias("text")
+        name(F.col("path")).alias("fname"), F.make_valid_utf8(F.col("content").cast("string")).alias("text")
     )
 
 
