@@ -9,7 +9,7 @@ from seqlab import fixed_values as V
 from seqlab import runtime
 from seqlab.catalog.metrics import _averages, _pc_sql
 from seqlab.catalog.registry import DOCS, PAGES, joined, query, r6, sql_calls, sql_r6
-from seqlab.operators import explain, features, markov, metrics, splits, trees
+from seqlab.operators import explain, features, forest_paths, markov, metrics, splits, trees
 from seqlab.operators import vocabulary as v
 from seqlab.plans import preparation, scoring
 from seqlab.sources import adapters as src
@@ -226,6 +226,37 @@ def m11_global(spark, d):
     )
 
 
+def _forest_rows(spark, d):
+    """Test rows with the forest's probabilities, and what its columns add to them."""
+    rows, _ = _engineered(spark, d)
+    model = trees.train_forest(rows.where("split = 'train'"), **FOREST)
+    return forest_paths.forest_contributions(trees.score(model, rows.where("split = 'test'")), model)
+
+
+@query("M11_forest_contributions")
+def m11_forest(spark, d):
+    """The trees' own contributions to the predicted class; the forest has no SQL form."""
+    names = F.array(*[F.lit(n) for n in features.STATISTIC_NAMES + features.CATEGORY_NAMES + features.TRANSITION_NAMES])
+    reasons = forest_paths.top_reasons(F.col("contributions"), names, F.col("y_pred").cast("int"))
+    return _forest_rows(spark, d).select("sample_id", "y_pred", F.inline(reasons))
+
+
+@query("M11_forest_sums", f"WITH {_TEST_ROWS} SELECT cast(sum(n) AS bigint) AS n, 0::bigint AS n_differ FROM sz")
+def m11_sums(spark, d):
+    add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
+    total = F.aggregate("contributions", F.col("base"), lambda a, e: add(a, e["changes"]))
+    gap = F.array_max(F.zip_with(total, "probs", lambda a, b: F.abs(a - b)))
+    return _forest_rows(spark, d).agg(F.count("*").alias("n"), F.count_if(~F.coalesce(gap < 1e-9, F.lit(False))).alias("n_differ"))
+
+
+@query("M10_text_reasons")
+def m10_reasons(spark, d):
+    """Predicted class of every text with the 15 columns that moved the trees most."""
+    models, _ = _models(spark, d)
+    texts = src.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("sample_id"), "text")
+    return scoring.score_texts(texts, models, reasons=15).select("sample_id", "predicted", F.inline("reasons"))
+
+
 # ---- streaming ---------------------------------------------------------------------
 _PADDED = f"""WITH {PAGES}, vocab AS (SELECT token, row_number() OVER (ORDER BY token) + 1 AS idx FROM (SELECT DISTINCT unnest(seq) AS token FROM pg)),
 c0 AS ({sql_calls('pg')}), c1 AS (SELECT *, {' AND '.join(f'coalesce(lag(token, {i}) OVER w = token, false)' for i in range(1, 6))} AS rep FROM c0

@@ -86,7 +86,7 @@ def looked_up(staged: Staged, dictionary: DataFrame, apply: Apply, added: Struct
         for batch in batches:
             for piece, number in by_part(batch, part):
                 if loaded[0] != number:
-                    loaded = (number, _load(folder, f"part={number}", empty))
+                    loaded = (number, read_parts(folder, f"part={number}", empty))
                 new = apply(piece, loaded[1])
                 columns = [piece.column(f.name) for f in kept] + new
                 columns = [c if c.type == f.type else c.cast(f.type) for c, f in zip(columns, target)]
@@ -95,7 +95,8 @@ def looked_up(staged: Staged, dictionary: DataFrame, apply: Apply, added: Struct
     return staged.rows.mapInArrow(run, schema)
 
 
-def _load(folder: str, name: str, empty: pa.Table) -> pa.Table:
+def read_parts(folder: str, name: str, empty: pa.Table) -> pa.Table:
+    """The Parquet files of a folder below ``folder`` as one table; ``empty`` where it is missing."""
     import pyarrow.parquet as pq
     from pyarrow import fs as pafs
 
@@ -152,7 +153,7 @@ class Shards:
             if no not in held:
                 if len(held) >= SHARDS_HELD:
                     held.pop(next(iter(held)))
-                held[no] = _load(self.folder, f"shard={no}", empty)
+                held[no] = read_parts(self.folder, f"shard={no}", empty)
             return held[no]
 
         def values(keys: pa.Array) -> pa.Array:

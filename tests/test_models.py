@@ -165,6 +165,23 @@ def test_texts(spark, models):
     assert got["cleaned"]["sequence_length"] == 0 and sum(got["cleaned"]["probs"]) == pytest.approx(1.0)
 
 
+def test_reasons_of_texts(spark, prepared, models):
+    rows = spark.createDataFrame([("a", "NtCreateFile NtReadFile NtCreateFile NtReadFile NtReadFile"), ("b", "connect send recv connect"), ("u", "q1 q2 q3")], "sample_id string, text string")
+    got = {r["sample_id"]: r for r in scoring.score_texts(rows, models, reasons=4).collect()}
+    plain = {r["sample_id"]: r for r in scoring.score_texts(rows, models).collect()}
+    names = {r["name"] for r in features.feature_names(models.ngrams).collect()}
+    for key, r in got.items():
+        assert list(r["probs"]) == pytest.approx(list(plain[key]["probs"])) and r["predicted"] == plain[key]["predicted"]
+        assert 0 < len(r["reasons"]) <= 4 and {x["name"] for x in r["reasons"]} <= names
+        sizes = [abs(x["value"]) for x in r["reasons"]]
+        assert sizes == sorted(sizes, reverse=True)
+    _, test, _ = prepared
+    scored = scoring.score_models(test, models, contributions=True)
+    total = F.aggregate("contributions", F.col("base"), lambda a, e: F.zip_with(a, e["changes"], lambda x, y: x + y))
+    gap = F.array_max(F.zip_with(total, "p_first", lambda a, b: F.abs(a - b)))
+    assert scored.agg(F.max(gap)).first()[0] < 1e-9
+
+
 def test_stream_equals_batch(spark, models, samples, tmp_path):
     texts = samples.select("sample_id", F.array_join("sequence", " ").alias("text"))
     texts.repartition(3).write.parquet(str(tmp_path / "in"))
