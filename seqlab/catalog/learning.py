@@ -13,6 +13,7 @@ from seqlab.operators import explain, features, forest_paths, markov, metrics, s
 from seqlab.operators import vocabulary as v
 from seqlab.plans import preparation, scoring
 from seqlab.sources import adapters as src
+from seqlab.streaming import evolving
 from seqlab.streaming import scoring as stream
 
 N_LANGS = 4
@@ -298,3 +299,23 @@ def m10_scored(spark, d):
     same = F.struct("s.predicted", "s.needs_review").eqNullSafe(F.struct("b.predicted", "b.needs_review"))
     both = live.alias("s").join(batch.alias("b"), "sample_id", "full")
     return both.agg(F.count("*").alias("n"), F.count_if(~same).alias("n_differ"))
+
+
+@query("M10_evolving_scores", f"""WITH {_MARKOV} SELECT sample_id, len(seq) AS calls, y AS class_idx, {sql_r6('e / sum(e) OVER (PARTITION BY sample_id)')} AS prob
+FROM ex JOIN pg USING (sample_id) WHERE len(seq) > 0""")
+def m10_evolving(spark, d):
+    """Calls of the test pages arrive in two waves; each is scored as it comes."""
+    pages = src.page_samples(spark, d).withColumn("y", (F.col("page_id") % 4).cast("int"))
+    train, test = pages.where("page_id % 3 <> 0"), pages.where("page_id % 3 = 0")
+    vocab = runtime.pin(v.build_vocabulary(train))
+    size = vocab.count()
+    model = markov.train_transitions(v.encode_sequences(train, vocab), 4, size)
+    base, encode = runtime.scratch_path(spark, "evolving"), v.row_encoder(vocab)
+    calls = test.select("sample_id", F.posexplode("sequence").alias("pos", "token")).withColumn("pos", F.col("pos").cast("long"))
+    for wave in (calls.where("pos < 12"), calls.where("pos >= 12")):
+        wave.write.mode("append").parquet(f"{base}/calls")
+        arriving = spark.readStream.schema("sample_id string, pos long, token string").parquet(f"{base}/calls")
+        evolving.store_steps(evolving.follow_calls(arriving, encode, max_repeats=None), f"{base}/steps", f"{base}/log-steps").awaitTermination()
+        evolving.score_steps(spark, f"{base}/steps", model, size, f"{base}/scores", f"{base}/log-scores").awaitTermination()
+    last = evolving.latest_scores(spark, f"{base}/scores")
+    return last.select("sample_id", "calls", F.posexplode("probs").alias("class_idx", "prob")).withColumn("prob", r6("prob"))
