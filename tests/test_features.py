@@ -155,3 +155,54 @@ def test_top_ngrams_by_threshold_are_exact(spark, monkeypatch, n):
             total = sum(own.values())
             assert {names[i]: round(v, 12) for i, v in zip(r["tf"].indices, r["tf"].values)} == {g: round(c / total, 12) for g, c in own.items()}
     assert ft.top_ngrams(samples.limit(0), n).count() == 0
+
+
+@pytest.mark.parametrize("damp", [False, True])
+def test_engineered_vectors_are_the_columns_values(spark, monkeypatch, rows, damp):
+    """Rows a few at a time give the values of the Column form; a null token is a value of its own."""
+    import pyarrow as pa
+
+    from seqlab.operators import dictionaries, engineered_rows
+
+    lists = [*rows, None, ["connect"] * 90, [None, "connect", "connect", "sleep"], ["b", None]]
+    samples = spark.createDataFrame([(str(i), s) for i, s in enumerate(lists)], "sample_id string, sequence array<string>").coalesce(1)
+    of = category_from(TABLE)
+    want = values(samples, ft.engineered(F.col("sequence"), damp, of))
+    got = {r["sample_id"]: r["features"].toArray().tolist() for r in ft.engineered_features(samples, damp, of).collect()}
+    named = pa.array([[{"token": t, "slot": V.CATEGORIES.index(cat(t))} for t in dict.fromkeys(s or [])] for s in lists])
+    monkeypatch.setattr(dictionaries, "PIECE_VALUES", 7)
+    pieces = list(dictionaries.row_pieces(pa.array(lists)))
+    assert len(pieces) > 20 and [a for a, _ in pieces] == [sum(n for _, n in pieces[:i]) for i in range(len(pieces))]
+    part = [x.tolist() for a, n in pieces for x in engineered_rows.row_values(pa.array(lists).slice(a, n), named.slice(a, n), 8, 5, damp)]
+    for i, s in enumerate(lists):
+        assert got[str(i)] == pytest.approx(want[str(i)], abs=1e-12)
+        assert part[i] == pytest.approx(want[str(i)], abs=1e-12)
+        assert want[str(i)][:9] == pytest.approx(py_stats(s, 5, damp), abs=1e-9)
+
+
+def test_ngram_batches_are_worked_on_in_pieces(spark, monkeypatch):
+    """Many rows in one batch: arrays follow the piece, and counts and shares stay the same."""
+    import re
+
+    import pyarrow as pa
+
+    from seqlab.operators import dictionaries, ngram_counts
+
+    monkeypatch.setattr(dictionaries, "PIECE_VALUES", 50)
+    lists = pa.array([[f"w{i * j % 13}x" for j in range(9)] for i in range(100)])
+    batch = pa.RecordBatch.from_arrays([lists], ["sequence"])
+    seen = [len(key) for _, _, key, _, _ in ngram_counts._batches([batch], ngram_counts.word_pattern(2), 1, 2)]
+    assert max(seen) <= 50 and sum(seen) == 100 * (9 + 8)
+    assert re.fullmatch(ngram_counts.word_pattern(2), "w0x")
+
+
+def test_dictionary_batches_are_cut_by_bytes(monkeypatch):
+    import pyarrow as pa
+
+    from seqlab.operators import dictionaries
+
+    monkeypatch.setattr(dictionaries, "PIECE_BYTES", 400)
+    batch = pa.RecordBatch.from_arrays([pa.array([["abc"] * (i % 30) for i in range(90)]), pa.array([1] * 40 + [2] * 50, pa.int32())], ["s", "p"])
+    pieces = list(dictionaries.by_part(batch, "p"))
+    assert pa.Table.from_batches([p for p, _ in pieces]).equals(pa.Table.from_batches([batch]))
+    assert all(p.nbytes <= 400 or p.num_rows == 1 for p, _ in pieces) and len(pieces) > 10
