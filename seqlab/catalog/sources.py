@@ -113,18 +113,13 @@ def s6(spark, d):
     return spark.read.text(f"{base}/l").groupBy(F.col("value").alias("label")).agg(F.count("*").alias("n"))
 
 
-def _folder(path):
-    """The report's name, kept as the name of its folder."""
-    return F.regexp_extract(path, r"fname=([^/]+)/", 1)
-
-
 @query("S7_trace_files", f"WITH {_TRACES} SELECT fname, status, CASE WHEN status = 'ok' THEN len(tags) ELSE 0 END AS n FROM tr")
 def s7(spark, d):
     path = runtime.scratch_path(spark, "traces")
     docs = trace_documents(spark, d)
     # one document per file, as sandboxes store them
-    docs.select("fname", F.col("text").alias("value")).write.partitionBy("fname").text(path)
-    return traces.parse_traces(readers.read_trace_files(spark, path, _folder)).select("fname", "status", F.col("sequence_length").alias("n"))
+    writers.write_text_files(docs, path)
+    return traces.parse_traces(readers.read_trace_files(spark, path)).select("fname", "status", F.col("sequence_length").alias("n"))
 
 
 @query("S8_label_files", _primary_sql(False))
@@ -217,8 +212,8 @@ def _ingest_twice(spark, d):
     docs = trace_documents(spark, d)
     last = -1
     for i, share in enumerate((docs.where("page_id % 3 = 0"), docs.where("page_id % 3 <> 0"))):
-        share.select("fname", F.col("text").alias("value")).write.mode("append").partitionBy("fname").text(f"{base}/files")
-        files = ingest.stream_trace_files(spark, f"{base}/files", _folder)
+        writers.write_text_files(share, f"{base}/files")
+        files = ingest.stream_trace_files(spark, f"{base}/files")
         ingest.ingest_traces(files, f"{base}/store", f"{base}/log").awaitTermination()
         if i == 0:
             last = ingest.ingest_counts(spark, f"{base}/store").agg(F.max("batch")).first()[0]

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+import zlib
+from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +21,8 @@ EXTRACTED_COLUMNS = [
     "api_sequence", "num_processes", "sequence_length", "source_volume",
 ]
 
+FILE_FOLDERS = 256
+
 
 def write_extracted(rows: DataFrame, path: str, mode: str = "append") -> None:
     """The 10-column trace Parquet (snappy); arrays become joined text."""
@@ -48,6 +52,30 @@ def write_aligned_text(
     return pinned.count()
 
 
+def write_text_files(rows: DataFrame, path: str, folders: int = FILE_FOLDERS) -> int:
+    """Each row's ``text`` as a file named ``fname``, below ``path`` in folders by the name's checksum; returns the file count.
+
+    A null text is an empty line. Tasks write the files themselves, so nothing is renamed by the driver, and a repeated
+    task writes the same files again. Names are distinct and hold no slash.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = runtime.open_fs(path)
+        made, n = set(), 0
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                folder = f"{base}/{zlib.crc32(name.encode()) % folders:03d}"
+                if folder not in made:
+                    fs.create_dir(folder, recursive=True)
+                    made.add(folder)
+                with fs.open_output_stream(f"{folder}/{name}") as out:
+                    out.write(f"{text or ''}\n".encode())
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    return runtime.spread(rows).select("fname", "text").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def write_reports(rows: DataFrame, path: str) -> None:
     """Add (hash, response) rows as one save; readers see the last save of a hash.
 

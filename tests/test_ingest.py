@@ -87,3 +87,17 @@ def test_a_repeated_batch_replaces_itself(spark, run):
     stored = spark.read.parquet(str(base / "store" / "rows"))
     assert stored.count() == 5 and stored.agg(F.count_distinct("path")).first()[0] == 5
     assert {n: rows()[n] for n in before} == before and counts()[0] == totals[0]
+
+
+def test_report_files_are_written_by_tasks(spark, tmp_path):
+    """One file per row in few folders, so neither the driver nor a folder has work for every file; a second write changes nothing."""
+    from seqlab.sources import readers, writers
+
+    texts = {f"{i}.json": None if i == 7 else _trace("é", str(i)) for i in range(60)}
+    rows = spark.createDataFrame(list(texts.items()), "fname string, text string").repartition(5)
+    for _ in range(2):
+        assert writers.write_text_files(rows, str(tmp_path / "files"), folders=4) == 60
+    assert len(list((tmp_path / "files").iterdir())) == 4
+    back = {r["fname"]: r["text"] for r in readers.read_trace_files(spark, str(tmp_path / "files")).collect()}
+    assert back == {n: f"{t or ''}\n" for n, t in texts.items()}
+    assert writers.write_text_files(rows.where("false"), str(tmp_path / "none")) == 0
