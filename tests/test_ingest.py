@@ -101,3 +101,23 @@ def test_report_files_are_written_by_tasks(spark, tmp_path):
     back = {r["fname"]: r["text"] for r in readers.read_trace_files(spark, str(tmp_path / "files")).collect()}
     assert back == {n: f"{t or ''}\n" for n, t in texts.items()}
     assert writers.write_text_files(rows.where("false"), str(tmp_path / "none")) == 0
+
+
+def test_files_of_a_batch_are_looked_up_in_few_tasks(spark, tmp_path, monkeypatch):
+    """More files than listing tasks: no task of its own for each file; a session's own bound stays."""
+    from seqlab.sources import writers
+
+    monkeypatch.setattr(ingest, "LISTING_TASKS", 1)
+    spark.conf.set(ingest.LISTING, "10000")
+    rows = spark.createDataFrame([(f"{i}.json", _trace("a")) for i in range(90)], "fname string, text string")
+    writers.write_text_files(rows, str(tmp_path / "files"), folders=4)
+    query = ingest.ingest_traces(ingest.stream_trace_files(spark, str(tmp_path / "files")), str(tmp_path / "store"), str(tmp_path / "log"))
+    query.awaitTermination()
+    tracker = spark.sparkContext.statusTracker()
+    stages = [s for j in tracker.getJobIdsForGroup(str(query.runId)) for s in tracker.getJobInfo(j).stageIds]
+    assert stages and max(tracker.getStageInfo(s).numTasks for s in stages) < 60  # the scan itself packs several files into a task
+    assert ingest.ingested(spark, str(tmp_path / "store")).count() == 90
+    spark.conf.set(ingest.LISTING, "77")
+    ingest.few_listing_tasks(spark)
+    assert spark.conf.get(ingest.LISTING) == "77"
+    spark.conf.unset(ingest.LISTING)
