@@ -229,3 +229,29 @@ def test_short_trace_plan(spark, samples):
     rows = preparation.prepare_short_external(external, splits.class_dimension(train), vocab)
     assert {r["label"] for r in rows.select("label").distinct().collect()} == {"Adware", "Spyware"}
     assert preparation.prepare_external(samples, vocab, normalise=True).where("size(encoded) <> size(sequence)").count() == 0
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_prepared_rows_are_stored_and_read_by_column(prepared):
+    train, test, _ = prepared
+    for part in (train, test):
+        assert "MapInArrow" not in _plan(part)
+        assert "sequence" not in _plan(part.select("label"))
+
+
+def test_matrix_sends_each_row_to_python_once(prepared, models):
+    _, test, _ = prepared
+    rows = features.feature_matrix(splits.index_labels(test, models.classes), models.ngrams, True, CATEGORY)
+    assert _plan(rows).count("ArrowEvalPython") == 1
+
+
+def test_kept_columns_alone_pass_between_the_scorers(prepared, models):
+    _, test, _ = prepared
+    rows = splits.index_labels(test, models.classes)
+    scored = scoring.score_models(rows, models, kept=["sample_id", "y"])
+    assert scored.columns == ["sample_id", "y", "p_first", "p_second"]
+    whole = scoring.score_models(rows, models).select(*scored.columns)
+    assert sorted(scored.collect()) == sorted(whole.collect())
