@@ -3,6 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from seqlab.functions.encoding import decode_codes, encode_literal, one_hot, pad, windows
+from seqlab.operators import dictionaries
 from seqlab.operators import vocabulary as v
 from seqlab.operators.windows import aggregate_windows, sliding_windows
 
@@ -160,3 +161,25 @@ def test_random_encoding_paths_agree(spark, seqs):
     a = {r["sample_id"]: list(r["encoded"]) for r in v.encode_sequences(samples, vocab).collect()}
     b = {r["sample_id"]: list(r["encoded"]) for r in v.row_encoder(vocab)(samples, "encoded").collect()}
     assert a == b and all(len(a[str(i)]) == len(s) for i, s in enumerate(rows))
+
+
+def test_batches_to_python_are_bounded_by_bytes(spark):
+    """A partition of long rows reaches Python in several batches; a session's own limit stays."""
+    import pyarrow as pa
+
+    from seqlab import runtime
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.nbytes]})
+
+    rows = spark.range(300, numPartitions=1).select(F.array_repeat(F.repeat(F.lit("a"), 100), 1000).alias("sequence"))
+    samples = rows.withColumn("sample_id", F.lit("x"))
+    spark.conf.unset(runtime.BATCH_SETTING)
+    dictionaries.stage(samples)
+    seen = [r["n"] for r in rows.mapInArrow(sizes, "n long").collect()]
+    assert len(seen) > 3 and max(seen) < 6 << 20
+    spark.conf.set(runtime.BATCH_SETTING, "9m")
+    dictionaries.stage(samples)
+    assert spark.conf.get(runtime.BATCH_SETTING) == "9m"
+    spark.conf.unset(runtime.BATCH_SETTING)
