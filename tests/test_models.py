@@ -255,3 +255,16 @@ def test_kept_columns_alone_pass_between_the_scorers(prepared, models):
     assert scored.columns == ["sample_id", "y", "p_first", "p_second"]
     whole = scoring.score_models(rows, models).select(*scored.columns)
     assert sorted(scored.collect()) == sorted(whole.collect())
+
+
+def test_folds_are_stored_before_the_search(spark, monkeypatch):
+    """Every fold filters the rows twice; the fold lookup must not run again each time."""
+    seen = []
+
+    def fit(self, rows):
+        seen.append((_plan(rows), rows.count()))
+
+    monkeypatch.setattr(trees.CrossValidator, "fit", fit)
+    rows = spark.range(40).select(F.col("id").cast("string").alias("sample_id"), (F.col("id") % 2).cast("int").alias("y"))
+    trees.search_forest(rows.withColumn("features", F.lit(1.0)), {"max_depth": [2]}, 1, 2)
+    assert len(seen) == 1 and "MapInArrow" not in seen[0][0] and seen[0][1] == 40
