@@ -34,6 +34,7 @@ from seqlab.operators.skew import prefix_sums
 
 SIZE = 4096
 # tokens a source must give to each window to have a queue of its own
+FEW = 64  # windows of a document that are cut one by one
 LEAST = 16
 # (source, partition) rows that are broadcast with their offsets; more are joined by shuffle
 BROADCAST_RUNS = 100_000
@@ -82,7 +83,10 @@ def pieces(start: int, n: int, below: int, own: int, total: int, size: int) -> t
     ``below``: tokens of the queues before it, ``own``: its own, ``total``: of all queues. A queue gives at
     least one token to a window, so rounding moves a token by two windows at most.
     """
-    w = np.arange(max(0, start * total // (own * size) - 2), (start + n) * total // (own * size) + 4)
+    first, last = max(0, start * total // (own * size) - 2), (start + n) * total // (own * size) + 4
+    if last - first <= FEW:
+        return few_pieces(start, n, below, own, total, size, first, last)
+    w = np.arange(first, last)
     low = given_by(w, below, total, size)
     taken = given_by(w, below + own, total, size) - low
     a, b = np.maximum(taken[:-1], start), np.minimum(taken[1:], start + n)
@@ -91,6 +95,21 @@ def pieces(start: int, n: int, below: int, own: int, total: int, size: int) -> t
     return a[keep], (b - a)[keep], w[:-1][keep], offset[keep]
 
 
+def few_pieces(start: int, n: int, below: int, own: int, total: int, size: int, first: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``pieces`` among the windows [first, last) one by one: for few windows, arrays cost more than their work."""
+    upto, end, out = below + own, start + n, []
+    low = min(size * first * below // total, below)
+    taken = min(size * first * upto // total, upto) - low
+    for w in range(first, last - 1):
+        next_low = min(size * (w + 1) * below // total, below)
+        next_taken = min(size * (w + 1) * upto // total, upto) - next_low
+        a, b = max(taken, start), min(next_taken, end)
+        if b > a:
+            out.append((a, b - a, w, next_low - low + a - taken))
+        low, taken = next_low, next_taken
+    return tuple(np.array(out, np.int64).reshape(-1, 4).T)
+
+
 def queue_table(totals: DataFrame, size: int = SIZE, least: int = LEAST) -> tuple[dict[str, tuple[str, int, int]], tuple[str, int, int], int]:
     """Queue, tokens below it and its own tokens by source; the same for all other sources; all tokens.
 

@@ -89,3 +89,20 @@ def test_word_cache_on_odd_characters():
     got = [np.frombuffer(b, words.kind).tolist() for at in range(0, len(texts), 7) for b in words.packed(texts[at: at + 7])]
     for x, ids in zip(texts, got):
         assert ids == t.encode(x, add_special_tokens=False).ids, x
+
+
+def test_few_windows_are_cut_as_many_are(monkeypatch):
+    import random
+
+    from seqlab.llm import mixture_packing as m
+
+    draw = random.Random(5)
+    for _ in range(300):
+        below, own, after = draw.randrange(5000), draw.randrange(1, 5000), draw.randrange(5000)
+        start = draw.randrange(own)
+        case = (start, draw.randrange(1, own - start + 1), below, own, below + own + after, draw.choice([7, 64, 4096]))
+        monkeypatch.setattr(m, "FEW", 0)
+        many = m.pieces(*case)
+        monkeypatch.setattr(m, "FEW", 1 << 30)
+        few = m.pieces(*case)
+        assert all(a.tolist() == b.tolist() for a, b in zip(many, few, strict=True))
