@@ -19,6 +19,8 @@ from seqlab import runtime
 
 SPLIT_BYTES = 8 << 20
 BATCH_BYTES = 4 << 20
+LEAST_MORE = 4096  # bytes read beyond a range at first
+NO_KEY, UNREAD = -1, -2
 QUOTE, SLASH, COMMA, COLON = b'"\\,:'
 OPENING, CLOSING = np.zeros(256, bool), np.zeros(256, bool)
 OPENING[list(b"{[")] = CLOSING[list(b"}]")] = True
@@ -76,16 +78,21 @@ def _marks(data: bytes, inside: bool, slashes: int, depth: int):
     return place, code, depth + np.cumsum(OPENING[code].astype(np.int64) - CLOSING[code])
 
 
-def _items(data: bytes, place, code, depth, level: int) -> list[tuple[int, int, bool]]:
-    """(from, to, whole) of the stretches between the marks that part the items of ``level``; the last may lack its end."""
+def _items(size: int, limit: int, place, code, depth, level: int) -> list[tuple[int, int, bool, int]]:
+    """(from, to, whole, colon) of the stretches that begin below ``limit`` between the marks that part the items of ``level``.
+
+    The last may lack its end, then ``to`` is ``size``. ``colon`` ends the item's key; NO_KEY without one, UNREAD where it may follow.
+    """
     starts = (OPENING[code] & (depth == level)) | ((code == COMMA) & (depth == level))
     stops = ((code == COMMA) & (depth == level)) | (CLOSING[code] & (depth == level - 1))
-    ends = np.flatnonzero(stops)
-    out = []
-    for i in np.flatnonzero(starts).tolist():
-        j = int(np.searchsorted(ends, i, "right"))
-        out.append((int(place[i]), int(place[ends[j]]) if j < len(ends) else len(data), j < len(ends)))
-    return out
+    at, ends = np.flatnonzero(starts & (place < limit)), np.flatnonzero(stops)
+    j = np.searchsorted(ends, at, "right")
+    whole = j < len(ends)
+    to = np.append(place[ends], size)[j]
+    after = np.minimum(at + 1, len(place) - 1)  # the mark behind an item's first one
+    keyed = (at + 1 < len(place)) & (place[after] <= to) & (code[after] == COLON) & (depth[after] == level)
+    colon = np.where(keyed, place[after], np.where(at + 1 < len(place), NO_KEY, UNREAD))
+    return list(zip(place[at].tolist(), to.tolist(), whole.tolist(), colon.tolist()))
 
 
 def _cut(level: int):
@@ -96,26 +103,23 @@ def _cut(level: int):
                 rows, size = [], 0
                 with _opened(path) as handle:
                     slashes, total = _slashes_before(handle, at), handle.size()
-                    more, limit = 0, end - at
+                    limit = end - at
+                    more = max(LEAST_MORE, limit // 16)  # in proportion: what is read beyond a range is read again by the next
                     while True:  # twice as far each time, until the items that begin here end
                         data = handle.read_at(min(limit + more, total - at), at)
                         found = _marks(data, bool(inside), slashes, int(depth))
-                        cut = {n: [x for x in _items(data, *found, n) if x[0] < limit] for n in {1, 2, level} if n <= level}
-                        if level == 1:
-                            open_ends = [x for x in cut[1] if not x[2]]
-                        else:  # of outer items only the name is needed
-                            open_ends = [x for x in cut[level] if not x[2]] + [
-                                x for n in (1, 2) for x in cut[n] if not x[2] and _name(data, x, found, n) is None
-                            ]
+                        cut = {n: _items(len(data), limit, *found, n) for n in {1, 2, level} if n <= level}
+                        # of outer items only the name is needed
+                        open_ends = any(not x[2] and (n == level or x[3] == UNREAD) for n, items in cut.items() for x in items)
                         if not open_ends or at + len(data) >= total:
                             break
-                        more = max(2 * more, SPLIT_BYTES // 8)
+                        more *= 2
                 events = sorted((x[0], n, x) for n, items in cut.items() for x in items)
                 key = field = None
                 for begin, n, x in events:
                     text = data[x[0] + 1: x[1]]
                     if n == level:
-                        if n > 1 and _name(data, x, found, n):
+                        if n > 1 and _name(data, x):
                             kind = None  # of an object, not of a list
                         elif not text.strip():
                             kind = "bad" if data[x[0]: x[0] + 1] == b"," or data[x[1]: x[1] + 1] == b"," else None
@@ -126,7 +130,7 @@ def _cut(level: int):
                             rows.append((path, at, at + begin, key, field, text.decode("utf-8", "replace") if kind == "item" else None, kind))
                             size += len(text)
                     else:
-                        name = _name(data, x, found, n)
+                        name = _name(data, x)
                         if n == 1:
                             key, field = name or None, ""
                         else:
@@ -140,13 +144,11 @@ def _cut(level: int):
     return run
 
 
-def _name(data: bytes, item: tuple[int, int, bool], found, level: int) -> str | None:
+def _name(data: bytes, item: tuple[int, int, bool, int]) -> str | None:
     """An item's key as JSON text; empty where it has none, None where the key's end is not read yet."""
-    place, code, depth = found
-    i = int(np.searchsorted(place, item[0], "right"))
-    if i < len(place) and place[i] <= item[1] and code[i] == COLON and depth[i] == level:
-        return data[item[0] + 1: int(place[i])].decode("utf-8", "replace").strip()
-    return "" if i < len(place) else None
+    if item[3] >= 0:
+        return data[item[0] + 1: item[3]].decode("utf-8", "replace").strip()
+    return "" if item[3] == NO_KEY else None
 
 
 def _parses(text: bytes) -> bool:
@@ -191,7 +193,7 @@ def json_items(spark: SparkSession, path: str, level: int = 1, split_bytes: int
         raise ValueError("level is 1 or 3")
     dealt = _ranges(spark, path, split_bytes).repartition(runtime.shuffle_width(spark), "file", "at")
     schema = "file string, range long, at long, key string, field string, body string, kind string"
-    found = runtime.pin(dealt.mapInPandas(_cut(level), schema))
+    found = runtime.stored(dealt.mapInPandas(_cut(level), schema), "json-items")
     bad = found.where("kind = 'bad'").select("file").distinct()
     items = found.where("kind = 'item'").join(bad, "file", "left_anti")
     if level == 1:
