@@ -17,6 +17,8 @@ from seqlab.llm.common import stored, table
 KEY = "corpus-surrogates"  # a deployment sets its own secret
 # Rows and bytes of the batches Python tasks get: whole texts, so far fewer rows than Spark's default of 10,000.
 BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
+# Entries of a packing worker's token caches. A smaller cache takes more CPU, never other ids.
+CACHE = 50_000
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -50,7 +52,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return mixture_packing.pack(docs, mixture_packing.public_vocabulary())
+    return mixture_packing.pack(docs, mixture_packing.public_vocabulary(), cache=CACHE)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -46,10 +46,24 @@ def public_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def tokenized(docs: DataFrame, vocabulary: str, end: int = END) -> DataFrame:
-    """(doc_id, source, part, start, n, ids): start counts the source's tokens before it in its partition."""
+def tokenized(docs: DataFrame, vocabulary: str, end: int = END, cache: int | None = None) -> DataFrame:
+    """(doc_id, source, part, start, n, ids): start counts the source's tokens before it in its partition.
+
+    ``cache``: entries of the tokenizer's caches, which a task then leaves empty: Python workers are used again by later stages.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if cache is None:
+            yield from encoded(frames)
+            return
+        words = loaded(vocabulary)
+        words.bound(cache, cache)
+        try:
+            yield from encoded(frames)
+        finally:
+            words.bound()
+
+    def encoded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, part = loaded(vocabulary), TaskContext.get().partitionId()
         given: dict[str, int] = {}
         width = np.dtype(words.kind).itemsize
@@ -134,14 +148,14 @@ def queue_table(totals: DataFrame, size: int = SIZE, least: int = LEAST) -> tupl
     return {k: (q, below[q], own[q]) for k, q in name.items()}, (common, below[common], own[common]), total
 
 
-def pack(docs: DataFrame, vocabulary: str, size: int = SIZE, end: int = END) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, size: int = SIZE, end: int = END, cache: int | None = None) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), one row per piece of a document."""
-    return packed_pieces(docs, vocabulary, size, end, with_ids=False)
+    return packed_pieces(docs, vocabulary, size, end, with_ids=False, cache=cache)
 
 
-def packed_pieces(docs: DataFrame, vocabulary: str, size: int = SIZE, end: int = END, with_ids: bool = True) -> DataFrame:
+def packed_pieces(docs: DataFrame, vocabulary: str, size: int = SIZE, end: int = END, with_ids: bool = True, cache: int | None = None) -> DataFrame:
     """``pack``, with the piece's token ids as an array too."""
-    kept = stored(tokenized(docs, vocabulary, end), "token-ids")
+    kept = stored(tokenized(docs, vocabulary, end, cache), "token-ids")
     runs = kept.groupBy("source", "part").agg(F.sum("n").alias("run"))
     named, other, total = queue_table(kept.groupBy("source").agg(F.sum("n").alias("own")), size)
     known = kept.sparkSession.createDataFrame(

@@ -54,7 +54,11 @@ class WordIds:
             [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
         )
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.words, self.runs = Recent(CACHE_WORDS), Recent(CACHE_RUNS)
+        self.bound()
+
+    def bound(self, words: int = CACHE_WORDS, runs: int = CACHE_RUNS) -> None:
+        """Empty the caches; each generation of them takes so many entries from now on."""
+        self.words, self.runs = Recent(words), Recent(runs)
 
     def _learn_runs(self, runs: set[str]) -> None:
         new, width = self.runs.lacking(runs), np.dtype(self.kind).itemsize

@@ -1,7 +1,9 @@
 import random
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 from tokenizers import Tokenizer
 
 from seqlab.llm import mixture_packing as op
@@ -106,3 +108,20 @@ def test_few_windows_are_cut_as_many_are(monkeypatch):
         monkeypatch.setattr(m, "FEW", 1 << 30)
         few = m.pieces(*case)
         assert all(a.tolist() == b.tolist() for a, b in zip(many, few, strict=True))
+
+
+def test_small_caches_give_the_same_pieces_and_are_left_empty(spark, docs, monkeypatch):
+    """The pipeline's packing bounds a worker's token caches and leaves them empty to the stages after it."""
+    texts = [" ".join(f"Word{(i * j) % 97}, x{j % 13}" for j in range(60)) for i in range(40)]
+    rows = [sorted(map(tuple, op.pack(docs(texts), op.public_vocabulary(), 64, cache=most).collect())) for most in (None, 5)]
+    assert rows[0] == rows[1] and len(rows[0]) > 40
+
+    # the task's function, here
+    here = SimpleNamespace(select=lambda *_: here, mapInPandas=lambda run, _: run)
+    monkeypatch.setattr(op, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    run = op.tokenized(here, op.public_vocabulary(), cache=5)
+    words, most = op.loaded(op.public_vocabulary()), []
+    for _ in run(iter([pd.DataFrame({"doc_id": [i], "source": "=", "text": [t]}) for i, t in enumerate(texts)])):
+        most.append(len(words.words.older))
+    assert max(most) > 0  # generations end at the bound
+    assert not any(len(part) for c in (words.words, words.runs) for part in (c.now, c.older))
