@@ -8,6 +8,7 @@ import re
 import numpy as np
 
 END = 2
+CLOSING = "</w>"  # ends the last token of a word
 CACHE_WORDS = 200_000
 CACHE_RUNS = 200_000
 # Words of these characters alone (no apostrophe) are cut by the tokenizer into runs of letters, single digits and
@@ -16,6 +17,16 @@ _PLAIN = re.compile(r"[!-&(-~À-ÖØ-öø-ÿ]*")
 _RUNS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
 
+def byte_signs(text: str) -> str:
+    """Each UTF-8 byte of runs (and spaces between them) as the sign that byte-level vocabularies write it with.
+
+    Letters of runs are ASCII or ß to ÿ. Of their bytes, three have no printable sign of their own.
+    """
+    if text.isascii():
+        return text
+    return text.encode().decode("latin-1").replace("\x9f", "\u0141").replace("\xa0", "\u0142").replace("\xad", "\u0143")
+
+
 class Recent:
     """A cache of two generations: when one is full the older is dropped, and what is asked for again moves up."""
 
@@ -50,9 +61,9 @@ class WordIds:
 
         self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.plain.normalizer = None
-        self.plain.pre_tokenizer = pre_tokenizers.Sequence(
-            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
-        )
+        self.plain.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        self.closing = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.closing[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(CLOSING)]] = True
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.bound()
 
@@ -64,9 +75,13 @@ class WordIds:
         new, width = self.runs.lacking(runs), np.dtype(self.kind).itemsize
         for at in range(0, len(new), 4096):
             part = new[at: at + 4096]
-            got = self.plain.encode(" ".join(part), add_special_tokens=False)
-            cuts = (np.searchsorted(np.array(got.word_ids), np.arange(len(part) + 1)) * width).tolist()
-            data = np.array(got.ids, self.kind).tobytes()
+            text = byte_signs(" ".join(part))
+            # the form without offsets and word numbers: a run ends with the one of its tokens that closes a word
+            ids = np.array(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+            ends = np.flatnonzero(self.closing[ids]) + 1
+            if len(ends) != len(part):  # a vocabulary without a closing token for each byte
+                ends = np.searchsorted(np.array(self.plain.encode(text, add_special_tokens=False).word_ids), np.arange(1, len(part) + 1))
+            cuts, data = [0, *(ends * width).tolist()], ids.tobytes()
             for run, a, b in zip(part, cuts[:-1], cuts[1:]):
                 self.runs.now[run] = data[a:b]
 
@@ -78,6 +93,11 @@ class WordIds:
         for word in new:
             if word.isalpha():
                 continue
+            last = word[-1]
+            if 33 <= last <= 126 and last != 39 and word[:-1].isalpha():  # a run and one sign or digit, the common case
+                cut[word] = own = (word[:-1].lower().decode(), chr(last))
+                runs.update(own)
+                continue
             text = word.decode()
             if "<|" in text or not _PLAIN.fullmatch(text):  # may hold an added token, or need the tokenizer's own rules
                 self.words.now[word] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
