@@ -268,3 +268,27 @@ def test_folds_are_stored_before_the_search(spark, monkeypatch):
     rows = spark.range(40).select(F.col("id").cast("string").alias("sample_id"), (F.col("id") % 2).cast("int").alias("y"))
     trees.search_forest(rows.withColumn("features", F.lit(1.0)), {"max_depth": [2]}, 1, 2)
     assert len(seen) == 1 and "MapInArrow" not in seen[0][0] and seen[0][1] == 40
+
+
+def test_search_query_does_all_draws_of_the_whole_space(spark, monkeypatch):
+    """The registered search fits the specified draws in the specified folds; few rows are one partition and many fits at once."""
+    from types import SimpleNamespace
+
+    from seqlab.catalog import QUERIES
+
+    seen = []
+
+    def fit(self, rows):
+        seen.append((self.getEstimatorParamMaps(), self.getNumFolds(), self.getParallelism(), rows.rdd.getNumPartitions()))
+        return SimpleNamespace(avgMetrics=[0.5] * len(seen[-1][0]))
+
+    monkeypatch.setattr(trees.CrossValidator, "fit", fit)
+    assert QUERIES["M1_random_search"](spark, "/root/testdata/sf0.001").count() == V.CV_DRAWS
+    ((maps, folds, parallelism, parts),) = seen
+    tried = {}
+    for setting in maps:
+        for param, value in setting.items():
+            tried.setdefault(param.name, set()).add(str(value))
+    assert len(maps) == V.CV_DRAWS and folds == V.CV_FOLDS
+    assert sorted(map(sorted, tried.values())) == sorted(sorted(map(str, v)) for v in V.SEARCH_SPACE.values())
+    assert parts == 1 and parallelism == max(2, spark.sparkContext.defaultParallelism)
