@@ -121,3 +121,39 @@ def test_files_of_a_batch_are_looked_up_in_few_tasks(spark, tmp_path, monkeypatc
     ingest.few_listing_tasks(spark)
     assert spark.conf.get(ingest.LISTING) == "77"
     spark.conf.unset(ingest.LISTING)
+
+
+def test_the_driver_holds_list_files_and_no_report_paths(run):
+    """Tasks list folders of any depth; the source's own log, which the driver keeps in memory, names a few list files."""
+    once, put, rows, counts, base = run
+    for i in range(120):
+        put(f"f{i % 3}/deep/r{i}.json", _trace(f"c{i}"))
+    for hidden in (".part.json", "_tmp.json", "_gone/x.json", "r.json._COPYING_"):
+        put(hidden, _trace("hidden"))
+    once()
+    assert set(rows()) == {f"r{i}.json" for i in range(120)} and rows()["r7.json"]["path"].endswith("/in/f1/deep/r7.json")
+    handed = "".join(p.read_text() for p in (base / "log" / "sources" / "0").iterdir() if not p.name.startswith("."))
+    lists = list((base / "log" / "listed").glob("*.parquet"))
+    assert "deep" not in handed and handed.count('"path"') == len(lists) == 3
+    once()
+    assert len(list((base / "log" / "listed").glob("*.parquet"))) == 3
+    os.utime(base / "in" / "f0" / "deep" / "r0.json", (2e9, 2e9))  # known by its path, whatever its time
+    put("late.json", _trace("late"))
+    once(files_per_batch=1, remembered="1d")
+    assert sum(c["files"] for c in counts().values()) == 121
+    put("old.json", _trace("old"))
+    put("new.json", _trace("new"))
+    newest = os.stat(base / "in" / "late.json").st_mtime
+    os.utime(base / "in" / "old.json", (newest - 2 * 86400,) * 2)
+    once(remembered="1d")
+    assert {"late.json", "new.json"} <= set(rows()) and "old.json" not in rows()
+
+
+def test_files_arrive_in_batches_in_order_of_age(run):
+    once, put, rows, counts, base = run
+    for i in range(7):
+        put(f"r{i}.json", _trace(f"c{i}"))
+        os.utime(base / "in" / f"r{i}.json", (1e9 - i, 1e9 - i))
+    once(files_per_batch=3)
+    found = {n: r["batch"] for n, r in rows().items()}
+    assert [found[f"r{i}.json"] for i in range(7)] == [2, 1, 1, 1, 0, 0, 0] and len(counts()) == 3
