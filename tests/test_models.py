@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from seqlab import fixed_values as V
 from seqlab.functions.labels import category_from
 from seqlab.operators.windows import aggregate_windows, sliding_windows
-from seqlab.operators import explain, features, markov, metrics, splits, trees
+from seqlab.operators import dictionaries, explain, features, markov, metrics, splits, trees
 from seqlab.operators import vocabulary as v
 from seqlab.plans import preparation, scoring
 from seqlab.streaming import scoring as stream
@@ -292,3 +292,33 @@ def test_search_query_does_all_draws_of_the_whole_space(spark, monkeypatch):
     assert len(maps) == V.CV_DRAWS and folds == V.CV_FOLDS
     assert sorted(map(sorted, tried.values())) == sorted(sorted(map(str, v)) for v in V.SEARCH_SPACE.values())
     assert parts == 1 and parallelism == max(2, spark.sparkContext.defaultParallelism)
+
+
+def test_texts_cross_to_python_once(spark, samples):
+    """Encoding and features come from one step that gives no tokens back; a category without Python form gives the same rows."""
+    train, test, vocab = preparation.prepare_primary(samples)
+    models = scoring.train_models(train, test, vocab, category=CATEGORY, n_estimators=3, max_depth=3)
+    odd = [("a", "NtClose, connect send\nÉté 中文x don't don't connect"), ("b", "x y"), ("c", ""), ("d", "send " * 40)]
+    texts = samples.limit(20).select("sample_id", F.array_join("sequence", ",").alias("text")).unionByName(spark.createDataFrame(odd, "sample_id string, text string"))
+    scored = scoring.score_texts(texts, models, reasons=2)
+    got = sorted(scored.collect())
+    models.category = lambda token: CATEGORY(token)
+    assert features.matrix_in_python(models.ngrams, True, models.category) is None
+    want = sorted(scoring.score_texts(texts, models, reasons=2).collect())
+    assert len(got) > 20 and got == want
+
+    usable = dictionaries.stage(samples.select("sample_id", "sequence"))
+    matrix = features.matrix_in_python(models.ngrams, True, CATEGORY)
+    both = v.encode_staged(usable, vocab, matrix=matrix)
+    assert both.columns == ["sample_id", "encoded", "features"] and "ArrowEvalPython" not in _plan(both)
+    apart = features.feature_matrix(v.encode_staged(usable, vocab), models.ngrams, True, CATEGORY).select("sample_id", "encoded", "features")
+    assert sorted(both.collect()) == sorted(apart.collect()) and "array_distinct" not in _plan(apart)
+
+
+def test_categories_in_python_are_those_of_the_column(spark):
+    from seqlab.sources.adapters import LETTERS
+
+    tokens = ["connect", "ntreadfile", "", "a", "z", "A", "0", "été", "中", "\U0001f600x", " b", None]
+    rows = spark.createDataFrame(list(enumerate(tokens)), "i int, t string")
+    for of in (CATEGORY, LETTERS):
+        assert of.in_python(tokens) == [r["c"] for r in rows.orderBy("i").select(of(F.col("t")).alias("c")).collect()]
